@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that define QUERIES and ORACLES, in order of the problems.
-MODULES = ("nearcopies", "lookalike", "calibrate", "cuckoo", "lexicon", "mixture")
+MODULES = ("nearcopies", "lookalike", "history", "calibrate", "cuckoo", "lexicon", "mixture")
 
 
 def queries() -> dict:
