@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that define QUERIES and ORACLES, in order of the problems.
-MODULES = ("nearcopies", "lookalike", "history", "abuse", "calibrate", "cuckoo", "lexicon", "mixture", "level")
+MODULES = ("personal", "nearcopies", "lookalike", "history", "abuse", "calibrate", "cuckoo", "lexicon", "mixture", "level")
 
 
 def queries() -> dict:
