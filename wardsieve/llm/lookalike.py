@@ -91,7 +91,8 @@ def pairs(rows: DataFrame) -> DataFrame:
     """(kind, key_a, key_b) of rows (kind, key, text) that look the same in different strings.
 
     Strings are paired first, within classes of several members, and rows joined to the pairs,
-    so rows of equal strings never meet.
+    so rows of equal strings never meet. Rows of null or equal key form no pair; repeated rows
+    give a pair once.
     """
     many = classes(rows).where("members > 1").select("kind", "text", "canonical")
     a, b = many.withColumnRenamed("text", "ta"), many.withColumnRenamed("text", "tb")
@@ -99,7 +100,7 @@ def pairs(rows: DataFrame) -> DataFrame:
     left = rows.select("kind", F.col("text").alias("ta"), F.col("key").alias("x"))
     right = rows.select("kind", F.col("text").alias("tb"), F.col("key").alias("y"))
     out = met.join(left, ["kind", "ta"]).join(right, ["kind", "tb"])
-    return out.select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+    return out.where("x <> y").select("kind", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def _rows(spark, sf_dir: str) -> DataFrame:
