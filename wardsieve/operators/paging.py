@@ -53,7 +53,7 @@ def encode_cursor(cursor: Cursor | None) -> str:
 
 def cursor_column(**parts: Column) -> Column:
     """The same encoding for a column of structs."""
-    return F.translate(F.base64(F.encode(F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()])), "UTF-8")), "+/", "-_")
+    return F.translate(F.base64(F.encode(F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()])), "UTF-8")), "+/\r\n", "-_")
 
 
 def limit_of(limit: int) -> int:

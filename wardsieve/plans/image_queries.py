@@ -103,17 +103,26 @@ def ring_weighted(spark, d: str) -> DataFrame:
     return ring.ring(load(spark, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") * 7).alias("weight")))
 
 
+_INNER = _H.format(c="concat('16777619:', CAST(c_custkey AS VARCHAR))")
+_PICK = f"CASE WHEN len(nodes) = 1 THEN nodes[1] ELSE nodes[1 + {_INNER} % len(nodes)] END AS node"
+
+
+def _lookup_sql(ring_: str) -> str:
+    return f"""k AS (SELECT ring_key, list_sort(list(DISTINCT node)) AS nodes FROM {ring_} GROUP BY ring_key),
+f AS (SELECT v.c_custkey, coalesce(k.nodes, (SELECT arg_min(nodes, ring_key) FROM k)) AS nodes FROM v ASOF LEFT JOIN k ON v.h <= k.ring_key) SELECT c_custkey, {_PICK} FROM f"""
+
+
 _LOOKUP = f"v AS (SELECT c_custkey, {_H.format(c='CAST(c_custkey AS VARCHAR)')} AS h FROM customer)"
 
 
-@query(f"WITH {_RING}, {_LOOKUP} SELECT v.c_custkey, coalesce(r.node, (SELECT arg_min(node, ring_key) FROM ring)) AS node FROM v ASOF LEFT JOIN ring r ON v.h <= r.ring_key")
+@query(f"WITH {_RING}, {_LOOKUP}, {_lookup_sql('ring')}")
 def ring_lookup(spark, d: str) -> DataFrame:
     return ring.lookup(load(spark, d, "customer"), _ring(spark, d), "c_custkey")
 
 
-@query(f"WITH {_RING}, {_LOOKUP}, less AS (SELECT * FROM ring WHERE node NOT IN ('FRANCE', 'CHINA', 'NATION_3')) SELECT v.c_custkey, coalesce(r.node, (SELECT arg_min(node, ring_key) FROM less)) AS node FROM v ASOF LEFT JOIN less r ON v.h <= r.ring_key")
+@query(f"WITH {_RING}, {_LOOKUP}, less AS (SELECT * FROM ring WHERE node NOT IN ('NATION_7', 'NATION_3')), {_lookup_sql('less')}")
 def ring_remove(spark, d: str) -> DataFrame:
-    gone = spark.createDataFrame([("FRANCE",), ("CHINA",), ("NATION_3",)], "node string")
+    gone = spark.createDataFrame([("NATION_7",), ("NATION_3",)], "node string")
     return ring.lookup(load(spark, d, "customer"), ring.remove(_ring(spark, d), gone), "c_custkey")
 
 

@@ -260,10 +260,12 @@ def first_requests(spark, d: str) -> DataFrame:
 
 
 def model_scores(spark, d: str) -> DataFrame:
-    """Answers of the text model for normal forms: the reviewed rows of the service."""
-    rows = load(spark, d, "text_dataset").where("added_by = 'auto'").select("id", F.col("normalized_content").alias("norm"))
-    asked = rows.join(load(spark, d, "text_review").where("abusive IS NOT NULL"), "id").groupBy("norm").agg(F.max("abusive").alias("a"))
-    return asked.select("norm", (F.col("a") == 1).alias("is_nsfw"), F.when(F.col("a") == 1, "Unsafe").otherwise("Safe").alias("safety_label"), F.when(F.col("a") == 1, F.array(F.lit("Violent"))).otherwise(F.array().cast("array<string>")).alias("categories"))
+    """Answers of the text model by normal form: detections that arrived with batch rows."""
+    rows = load(spark, d, "text_batch").where("added_by = 'auto' AND normalized_content IS NOT NULL")
+    label = F.lower(F.trim("category"))
+    level = F.max(F.when(label == "unsafe", 2).when(label == "controversial", 1).otherwise(0))
+    asked = rows.groupBy(F.col("normalized_content").alias("norm")).agg(level.alias("a"))
+    return asked.select("norm", (F.col("a") > 0).alias("is_nsfw"), F.element_at(F.array(F.lit("Safe"), F.lit("Controversial"), F.lit("Unsafe")), F.col("a") + 1).alias("safety_label"), F.when(F.col("a") > 0, F.array(F.lit("Violent"))).otherwise(F.array().cast("array<string>")).alias("categories"))
 
 
 def cascade_sql(requests: str, order: str) -> str:
@@ -276,13 +278,13 @@ known AS (SELECT normalized_content AS norm, category AS cached, coalesce(nsfw_s
 miss AS (SELECT * FROM dist WHERE norm NOT IN (SELECT norm FROM known WHERE norm IS NOT NULL)),
 gated AS (SELECT DISTINCT norm FROM (SELECT norm, unnest({toks('text')}) AS tok FROM miss) WHERE {norm('tok')} IN (SELECT token FROM keys)),
 m AS (SELECT g.norm, max(p.nsfw_score) AS score, list(DISTINCT p.category) AS cats FROM gated g JOIN pats p ON contains(g.norm, p.nw) GROUP BY g.norm),
-model AS (SELECT t.normalized_content AS norm, max(abusive) AS abusive FROM text_dataset t JOIN text_review r USING (id) WHERE t.added_by = 'auto' GROUP BY 1),
-fresh AS (SELECT miss.norm, coalesce(m.score, 0.0) AS score, m.norm IS NOT NULL AS hit, coalesce(m.cats, []) AS cats, CASE WHEN coalesce(m.score, 0.0) < 0.85 THEN model.abusive END AS abusive FROM miss LEFT JOIN m USING (norm) LEFT JOIN model USING (norm)),
+model AS (SELECT normalized_content AS norm, max(CASE lower(trim(category)) WHEN 'unsafe' THEN 2 WHEN 'controversial' THEN 1 ELSE 0 END) AS level FROM text_batch WHERE added_by = 'auto' AND normalized_content IS NOT NULL GROUP BY 1),
+fresh AS (SELECT miss.norm, coalesce(m.score, 0.0) AS score, m.norm IS NOT NULL AS hit, coalesce(m.cats, []) AS cats, CASE WHEN coalesce(m.score, 0.0) < 0.85 THEN model.level END AS level FROM miss LEFT JOIN m USING (norm) LEFT JOIN model USING (norm)),
 results AS (
 SELECT norm, true AS cache_hit, coalesce(cached = 'safe', false) AS is_clean, coalesce(cached = 'unsafe', false) AS should_reject, coalesce(cached = 'controversial', false) AS should_review, cached_score AS max_nsfw_score, '' AS categories, false AS nsfw_checked FROM known WHERE norm IN (SELECT norm FROM dist)
 UNION ALL
-SELECT norm, false, NOT hit AND coalesce(abusive, 0) = 0, score >= 0.85 OR coalesce(abusive, 0) = 1, score < 0.85 AND score >= 0.5, score,
- array_to_string(list_sort(list_distinct(list_concat(cats, CASE WHEN abusive = 1 THEN ['Violent'] ELSE [] END))), '|'), abusive IS NOT NULL FROM fresh),
+SELECT norm, false, NOT hit AND coalesce(level, 0) = 0, score >= 0.85 OR coalesce(level, 0) = 2, (score < 0.85 AND score >= 0.5) OR coalesce(level, 0) = 1, score,
+ array_to_string(list_sort(list_distinct(list_concat(cats, CASE WHEN level > 0 THEN ['Violent'] ELSE [] END))), '|'), level IS NOT NULL FROM fresh),
 verdicts AS (SELECT rn.request_id, coalesce(cache_hit, false) AS cache_hit, coalesce(is_clean, true) AS is_clean, coalesce(should_reject, false) AS should_reject, coalesce(should_review, false) AS should_review, coalesce(max_nsfw_score, 0.0) AS max_nsfw_score, coalesce(categories, '') AS categories, coalesce(nsfw_checked, false) AS nsfw_checked, rn.norm FROM rn LEFT JOIN results USING (norm))"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wardsieve/{name}-{uuid.uuid4().hex}"
+    """A new path under the application's own folder, which is removed when the driver ends."""
+    root = f"{shared_dir(spark)}/wardsieve/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def persist_table(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
