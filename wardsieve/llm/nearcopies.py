@@ -29,10 +29,12 @@ MIN_WORDS = 10
 MAX_BITS = 8
 #: (shift, bits) of the segments of a 64-bit hash, and the radius within which one must agree.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Most frequent words whose order is kept; all others count as rare.
+#: Most frequent words whose order is kept; all others come first, by their hash.
 FREQUENT_WORDS = 20_000
+#: Rows that a word may occur in to be a key by itself.
+RARE_ROWS = 250
 #: Rows that may share a key before it is refined by a further word, and the most words of a key.
-KEY_ROWS = 100
+KEY_ROWS = 1_000
 KEY_WORDS = 6
 
 
@@ -100,8 +102,9 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     """(id, words, n, rare): one row for each distinct set, words from rare to frequent.
 
     The order is one for all rows: words outside the most frequent by their hash, then the
-    frequent ones by rising document count. Document counts cover all rows; 20,000 words at
-    most travel to the driver and back.
+    frequent ones by rising document count; ``rare`` is how many words of the front are keys by
+    themselves. Document counts cover all rows; 20,000 words at most travel to the driver and
+    back.
     """
     spark = sets.sparkSession
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -110,20 +113,22 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     by_hash = np.argsort(top["w"].to_numpy(np.int64))
     known = top["w"].to_numpy(np.int64)[by_hash]
     rank = (len(top) - np.arange(len(top), dtype=np.int64))[by_hash]
-    shared = spark.sparkContext.broadcast((known, rank))
+    often = (top["n"].to_numpy() > RARE_ROWS)[by_hash]
+    shared = spark.sparkContext.broadcast((known, rank, often))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known, rank, often = shared.value
         for b in batches:
             lists = b.column(1)
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            place = np.zeros(len(flat), np.int64)
+            place, rare_word = np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
             if len(known) and len(flat):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                place = np.where(known[at] == flat, rank[at], 0)
+                hit = known[at] == flat
+                place, rare_word = np.where(hit, rank[at], 0), ~(hit & often[at])
             by = np.lexsort((flat, place, row))
-            rare = np.bincount(row[place == 0], minlength=len(lists))
+            rare = np.bincount(row[rare_word], minlength=len(lists))
             out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[by]))
             yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(np.diff(offsets).astype(np.int32)), pa.array(rare.astype(np.int32))], ["id", "words", "n", "rare"])
 
@@ -154,14 +159,13 @@ def set_pairs(sets: DataFrame) -> DataFrame:
     """(a, b): pairs of the distinct sets of ``ordered_sets`` that overlap enough."""
     found, level = [], _first_keys(sets)
     while True:
-        level = persist_table(level, "keys")
-        counts = level.groupBy("key", "k").agg(F.count("*").alias("rows")).where("rows > 1")
-        counted = level.join(counts, ["key", "k"])
+        level = persist_table(level, "keys").repartition("key", "k")  # one exchange for the count and both sides of the join
         last = level.where(f"k < {KEY_WORDS}").isEmpty()
-        found.append(_meet(counted if last else counted.where(f"rows <= {KEY_ROWS} OR k >= {KEY_WORDS}")))
+        crowded = persist_table(level.groupBy("key", "k").agg(F.count("*").alias("rows")).where(f"rows > {KEY_ROWS} AND k < {KEY_WORDS}"), "crowded")
+        found.append(_meet(level.join(crowded, ["key", "k"], "left_anti")))
         if last:
             break
-        hot = counted.where(f"rows > {KEY_ROWS} AND k < {KEY_WORDS}").select("key", "id", "n", "last", "k").join(sets.select("id", "words"), "id")
+        hot = level.join(crowded, ["key", "k"]).select("key", "id", "n", "last", "k").join(sets.select("id", "words"), "id")
         until = F.least(F.col("n") - _fewest_common(F.col("n")) + F.col("k"), F.col("n") - 1)
         longer = hot.withColumn("until", until).where("last < until").select("id", "n", "key", "k", "words", F.explode(F.sequence(F.col("last") + 1, F.col("until"))).alias("next"))
         level = longer.select(F.xxhash64("key", F.get("words", F.col("next"))).alias("key"), "id", "n", F.col("next").alias("last"), (F.col("k") + 1).alias("k"))
