@@ -15,7 +15,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardsieve.runtime import load
+from wardsieve.runtime import load, persist_table
 
 #: Letters of other scripts and the Latin letters they are drawn like.
 ALIKE = {
@@ -64,20 +64,38 @@ def table() -> tuple[str, str]:
 def look(col: F.Column | str) -> F.Column:
     """The folded form, before collation. Null stays null."""
     c = F.col(col) if isinstance(col, str) else col
+    folded = F.translate(c, *table())
+    spread_ = folded
     for a, b in LIGATURES.items():
-        c = F.when(F.contains(c, F.lit(a)), F.replace(c, F.lit(a), F.lit(b))).otherwise(c)
-    return F.translate(c, *table())
+        spread_ = F.replace(spread_, F.lit(a), F.lit(b))
+    return F.when(F.rlike(c, F.lit("[" + "".join(LIGATURES) + "]")), spread_).otherwise(folded)
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(kind, text, canonical, members): every distinct string and its class.
+@cache
+def _bases() -> tuple[str, str]:
+    """Arguments of ``translate``: letters with marks, and their ASCII bases."""
+    pairs_ = [(chr(cp), unicodedata.normalize("NFD", chr(cp))[0]) for cp in range(0x80, 0x1_0000) if unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lt", "Lo")]
+    pairs_ = [(c, b) for c, b in pairs_ if b.isascii()]
+    return "".join(c for c, _ in pairs_), "".join(b for _, b in pairs_)
 
-    ``rows``: kind, text. Null strings are left out. The canonical member is the one of fewest
-    bytes, ties by code point, so it is a plain spelling where the class has one.
+
+def _skeleton(form: str) -> F.Column:
+    """A hash that strings equal under the collation share: their ASCII letters and digits.
+
+    Canonical equivalents differ in marks and precomposed letters only, ignorable characters are
+    none of these, so unequal hashes mean unequal classes. The converse is left to the collation.
     """
-    spark = rows.sparkSession
-    variants = rows.where("text IS NOT NULL").groupBy("kind", "text").agg(F.count("*").alias("n")).withColumn("form", look("text"))
-    return spark.sql(
+    return F.xxhash64(F.regexp_replace(F.translate(form, *_bases()), "[^A-Za-z0-9]+", ""))
+
+
+def _variants(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct strings (kind, text, form, sk), and the (kind, sk) that several of them share."""
+    variants = rows.where("text IS NOT NULL").groupBy("kind", "text").agg(F.count("*").alias("n")).withColumn("form", look("text")).withColumn("sk", _skeleton("form"))
+    return variants, variants.groupBy("kind", "sk").agg(F.count("*").alias("m")).where("m > 1").select("kind", "sk")
+
+
+def _classes(variants: DataFrame) -> DataFrame:
+    return variants.sparkSession.sql(
         """
         WITH v AS (SELECT kind, text, collate(form, 'UNICODE') AS form FROM {variants}),
         c AS (SELECT kind, form, min(struct(octet_length(text) AS size, text)).text AS canonical, count(*) AS members FROM v GROUP BY kind, form)
@@ -87,6 +105,19 @@ def classes(rows: DataFrame) -> DataFrame:
     )
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """(kind, text, canonical, members): every distinct string and its class.
+
+    ``rows``: kind, text. Null strings are left out. The canonical member is the one of fewest
+    bytes, ties by code point, so it is a plain spelling where the class has one. Only strings
+    that share their skeleton with another are grouped under the collation; all others are
+    classes of their own.
+    """
+    variants, shared = _variants(rows)
+    alone = variants.join(shared, ["kind", "sk"], "left_anti").select("kind", "text", F.col("text").alias("canonical"), F.lit(1).cast("long").alias("members"))
+    return _classes(variants.join(shared, ["kind", "sk"], "left_semi")).unionByName(alone)
+
+
 def pairs(rows: DataFrame) -> DataFrame:
     """(kind, key_a, key_b) of rows (kind, key, text) that look the same in different strings.
 
@@ -94,7 +125,9 @@ def pairs(rows: DataFrame) -> DataFrame:
     so rows of equal strings never meet. Rows of null or equal key form no pair; repeated rows
     give a pair once.
     """
-    many = classes(rows).where("members > 1").select("kind", "text", "canonical")
+    variants, shared = _variants(rows)
+    grouped = persist_table(_classes(variants.join(shared, ["kind", "sk"], "left_semi")), "lookalikes")
+    many = grouped.where("members > 1").select("kind", "text", "canonical")
     a, b = many.withColumnRenamed("text", "ta"), many.withColumnRenamed("text", "tb")
     met = a.join(b, ["kind", "canonical"]).where("ta < tb").select("kind", "ta", "tb")
     left = rows.select("kind", F.col("text").alias("ta"), F.col("key").alias("x"))
