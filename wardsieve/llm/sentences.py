@@ -17,6 +17,7 @@ from wardsieve.llm.lookalike import table
 #: Digits and signs that stand for letters.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 _END = re.compile(r"(?<=[.!?;,。，！？])\s+|(?<=[。，！？])|\s+\.\.\.\s*|\n+")
+_MARKS = re.compile(r"[\W_]+")
 _RUN = re.compile(r"(.)\1{2,}")
 _FROM, _TO = table()
 _LOOK = {ord(c): (_TO[i] if i < len(_TO) else None) for i, c in enumerate(_FROM)}
@@ -30,8 +31,8 @@ def split(text: str) -> list[str]:
 
 def fold(text: str) -> str:
     """Look-alikes, accents, case and stand-in digits folded, as in the service's own form."""
-    text = text.translate(_LOOK)
     if not text.isascii():
+        text = text.translate(_LOOK)
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
     return text.lower().translate(_LEET)
 
@@ -42,7 +43,7 @@ def tokens(sentence: str, known: Callable[[str], bool]) -> list[str]:
     Marks inside a word are dropped, letters spelled apart are joined, and letters repeated
     three times or more are squeezed.
     """
-    raw = [w for w in (re.sub(r"[^\w]|_", "", x) for x in fold(sentence).split()) if w]
+    raw = [x if x.isalnum() else y for x in fold(sentence).split() if x.isalnum() or (y := _MARKS.sub("", x))]
     out: list[str] = []
     i = 0
     while i < len(raw):
