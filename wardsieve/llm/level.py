@@ -9,6 +9,7 @@ models that did not see the document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,26 +59,39 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((1, len(LEVELS))))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(LEVELS)))
     top: np.ndarray = field(default_factory=lambda: np.zeros((1, len(LEVELS))))
-    _cache: dict = field(default_factory=dict, repr=False)
-
-    def vector(self, w: str) -> np.ndarray:
-        """Sum of a word's weights: its own and the mean of its trigrams'."""
-        v = self._cache.get(w)
-        if v is None:
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            v = np.zeros(len(LEVELS))
-            if (i := self.features.get(w)) is not None:
-                v = v + self.weights[i]
-            grams = _grams(w)
-            for g in grams:
-                if (i := self.features.get(g)) is not None:
-                    v = v + self.weights[i] / len(grams)
-            self._cache[w] = v
-        return v
+
+    def __post_init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self._places: dict[str, int] = {}
+        self._vectors = np.zeros((1024, len(LEVELS)))
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("features", "weights", "bias", "top")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _place(self, w: str) -> int:
+        """Row of a word's summed weights: its own and the mean of its trigrams'. Computed once
+        a word; the table starts anew when it has grown large."""
+        at = self._places.get(w)
+        if at is None:
+            at = self._places[w] = len(self._places)
+            if at >= len(self._vectors):
+                self._vectors = np.vstack([self._vectors, np.zeros_like(self._vectors)])
+            for i, x in _word_features(w, self.features):
+                self._vectors[at] += x * self.weights[i]
+        return at
 
     def sentence_levels(self, sentences: list[list[str]]) -> np.ndarray:
-        z = np.array([sum(map(self.vector, ws), np.zeros(len(LEVELS))) / len(ws) ** 0.5 for ws in sentences]) + self.bias
+        if len(self._places) > 300_000:
+            self._forget()
+        rows = [self._place(w) for ws in sentences for w in ws]
+        n = np.array([len(ws) for ws in sentences])
+        z = np.add.reduceat(self._vectors[rows], np.cumsum(n) - n) / np.sqrt(n)[:, None] + self.bias
         return _softmax(z)
 
     def document(self, text: str | None) -> np.ndarray:
@@ -87,6 +101,12 @@ class Model:
         return _softmax(_profile(self.sentence_levels(sentences), sentences)[None] @ self.top)[0]
 
 
+def _word_features(w: str, features: dict[str, int]) -> list[tuple[int, float]]:
+    out = [(i, 1.0)] if (i := features.get(w)) is not None else []
+    grams = _grams(w)
+    return out + [(i, 1.0 / len(grams)) for g in grams if (i := features.get(g)) is not None]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -106,28 +126,26 @@ def _fit_sentences(docs: list[list[list[str]]], y: np.ndarray, steps: int = 150)
     rows = [(s, c) for d, c in zip(docs, y, strict=True) for s in d[::every]]
     model = Model()
     least = 2 if len(docs) < 1000 else 3
-    model.features = S.vocabulary((set(s) | {g for w in s for g in _grams(w)} for s, _ in rows), least, MAX_FEATURES)
-    get = model.features.get
-    lists, values = [], []
-    for s, _ in rows:
-        x: dict[int, float] = {}
-        for w in s:
-            if (i := get(w)) is not None:
-                x[i] = x.get(i, 0.0) + 1.0
-            grams = _grams(w)
-            for g in grams:
-                if (i := get(g)) is not None:
-                    x[i] = x.get(i, 0.0) + 1.0 / len(grams)
-        lists.append(np.fromiter(x, np.int64, len(x)))
-        values.append(np.fromiter(x.values(), float, len(x)) / len(s) ** 0.5)
-    data = S.Rows(lists, len(model.features), values)
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in s], np.int64) for s, _ in rows]
+    grams = [_grams(w) for w in number]
+    counts: Counter[str] = Counter()
+    for w, n in zip(number, np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=len(number)).tolist(), strict=True):
+        counts[w] += n
+        for g in set(grams[number[w]]):
+            counts[g] += n
+    model.features = {f: i for i, f in enumerate(sorted((f for f, n in counts.items() if n >= least), key=lambda f: (-counts[f], f))[:MAX_FEATURES])}
+    # sentences over words, and words over features: the same product with far fewer entries
+    parts = [_word_features(w, model.features) for w in number]
+    words = S.Rows([np.array([i for i, _ in p], np.int64) for p in parts], len(model.features), [np.array([x for _, x in p], float) for p in parts])
+    data = S.Rows(ids, len(number), [np.full(len(i), len(i) ** -0.5) for i in ids])
     target = np.eye(len(LEVELS))[[c for _, c in rows]]
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        g = (_softmax(data.dot(w[:-1]) + w[-1]) - target) / data.n
-        return np.vstack([data.tdot(g) + 2.0 / data.n * w[:-1], g.sum(0)])
+        g = (_softmax(data.dot(words.dot(w[:-1])) + w[-1]) - target) / data.n
+        return np.vstack([words.tdot(data.tdot(g)) + 2.0 / data.n * w[:-1], g.sum(0)])
 
-    w = S.adam(gradient, np.zeros((data.m + 1, len(LEVELS))), steps=steps, rate=0.05)
+    w = S.adam(gradient, np.zeros((words.m + 1, len(LEVELS))), steps=steps, rate=0.05)
     model.weights, model.bias = w[:-1], w[-1]
     return model
 
