@@ -55,18 +55,19 @@ def hash_pairs(hashes: DataFrame, col: str = "phash") -> DataFrame:
         return F.transform(flips, lambda flip: F.struct(F.lit(k).alias("seg"), code(F.col(col), s).bitwiseXOR(flip).alias("key")))
 
     balls = [ball(k, s) for k, s in enumerate(SEGMENTS)]
-    keyed = hashes.select(F.col(col).alias("h"), F.explode(F.concat(*balls)).alias("k")).select("h", "k.seg", "k.key")
-    a, b = keyed.select(F.col("h").alias("a"), "seg", "key"), keyed.select(F.col("h").alias("b"), "seg", "key")
-    met = a.join(b, ["seg", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+    # the segment is part of the key: codes have 22 bits at most
+    keyed = hashes.select(F.col(col).alias("h"), F.explode(F.concat(*balls)).alias("k")).select("h", (F.shiftleft(F.col("k.seg").cast("long"), 22) + F.col("k.key")).alias("band")).repartition("band")
+    a, b = keyed.select(F.col("h").alias("a"), "band"), keyed.select(F.col("h").alias("b"), "band")
+    met = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     apart = [F.bit_count(code(diff, s)) for s in SEGMENTS]
-    here = F.lit(False)
+    here, seg, key = F.lit(False), F.shiftright("band", 22), F.col("band").bitwiseAND(F.lit((1 << 22) - 1))
     for k, s in enumerate(SEGMENTS):
-        mine = F.when(apart[k] <= 1, F.col("key") == code(F.col("a"), s)).otherwise(F.col("key") < code(diff, s).bitwiseXOR(F.col("key")))
+        mine = F.when(apart[k] <= 1, key == code(F.col("a"), s)).otherwise(key < code(diff, s).bitwiseXOR(key))
         earlier = F.lit(False)
         for x in apart[:k]:
             earlier = earlier | (x <= 2)
-        here = here | ((F.col("seg") == k) & ~earlier & mine)
+        here = here | ((seg == k) & ~earlier & mine)
     return met.where(here).select("a", "b")
 
 
@@ -84,91 +85,121 @@ def image_pairs(rows: DataFrame) -> DataFrame:
 
 
 def word_sets(rows: DataFrame) -> DataFrame:
-    """(id, words, s1, s2) of rows (id, text) with at least 10 distinct words.
+    """(id, words) of rows (id, text) with at least 10 distinct words.
 
-    ``words`` are 64-bit hashes of lower-cased runs of letters and numbers, distinct and sorted;
-    s1 and s2 are two hashes of the set. Null texts have no words.
+    ``words`` are 64-bit hashes of lower-cased runs of letters and numbers, distinct. Null texts
+    have no words.
     """
     words = F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
-    sets = rows.select("id", F.array_sort(F.array_distinct(words)).alias("words")).where(F.size("words") >= MIN_WORDS)
-    return sets.withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), "words")})
+    return rows.select("id", F.array_distinct(words).alias("words")).where(F.size("words") >= MIN_WORDS)
 
 
-def _fewest_common(n: F.Column) -> F.Column:
-    return F.ceil(n * OVERLAP[0] / OVERLAP[1] - 1e-9).cast("int")
+ORDERED = "id long, words array<long>, n int, rare int, busy int"
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
-    """(id, words, n, rare): one row for each distinct set, words from rare to frequent.
+    """ORDERED: words from rare to frequent, and how many at the front are rare.
 
     The order is one for all rows: words outside the most frequent by their hash, then the
-    frequent ones by rising document count; ``rare`` is how many words of the front are keys by
-    themselves. Document counts cover all rows; 20,000 words at most travel to the driver and
-    back.
+    frequent ones by rising document count, written as their place in that order, which takes
+    less room than a hash. ``rare`` words are keys by themselves; from ``busy`` on words occur in
+    more than KEY_ROWS rows. Document counts cover all rows; 20,000 words at most travel to the
+    driver and back.
     """
     spark = sets.sparkSession
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toPandas()
-    top = top[top["n"] > 1]
+    top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toPandas()
     by_hash = np.argsort(top["w"].to_numpy(np.int64))
-    known = top["w"].to_numpy(np.int64)[by_hash]
-    rank = (len(top) - np.arange(len(top), dtype=np.int64))[by_hash]
-    often = (top["n"].to_numpy() > RARE_ROWS)[by_hash]
-    shared = spark.sparkContext.broadcast((known, rank, often))
+    known, n = top["w"].to_numpy(np.int64)[by_hash], top["n"].to_numpy(np.int64)
+    place = (len(top) - np.arange(len(top), dtype=np.int64))[by_hash]
+    other = int(n[-1]) if len(top) == FREQUENT_WORDS else 1  # most rows of a word that isn't listed
+    shared = spark.sparkContext.broadcast((known, place, n[by_hash], other))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank, often = shared.value
+        known, place, n, other = shared.value
         for b in batches:
             lists = b.column(1)
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            place, rare_word = np.zeros(len(flat), np.int64), np.ones(len(flat), bool)
+            at, often, code = np.zeros(len(flat), np.int64), np.full(len(flat), other), flat
             if len(known) and len(flat):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                hit = known[at] == flat
-                place, rare_word = np.where(hit, rank[at], 0), ~(hit & often[at])
-            by = np.lexsort((flat, place, row))
-            rare = np.bincount(row[rare_word], minlength=len(lists))
-            out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[by]))
-            yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(np.diff(offsets).astype(np.int32)), pa.array(rare.astype(np.int32))], ["id", "words", "n", "rare"])
+                i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                hit = known[i] == flat
+                at, often = np.where(hit, place[i], 0), np.where(hit, n[i], other)
+                code = np.where(hit, place[i], flat)
+            by = np.lexsort((code, at, row))
+            many = lambda flag: pa.array(np.bincount(row[flag], minlength=len(lists)).astype(np.int32))
+            words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(code[by]))
+            yield pa.RecordBatch.from_arrays([b.column(0), words, pa.array(np.diff(offsets).astype(np.int32)), many(often <= RARE_ROWS), many(often <= KEY_ROWS)], ["id", "words", "n", "rare", "busy"])
+
+    return sets.select("id", "words").mapInArrow(order, ORDERED)
+
+
+def _fewest_common(n: F.Column) -> F.Column:
+    return F.ceil(n * OVERLAP[0] / OVERLAP[1] - 1e-9).cast("int")
+
+
+#: A key row is (key, id, m): m holds the set's size, the place of the key's last word, and how
+#: many words the key has, in 31, 29 and 3 bits.
+def _packed(n: F.Column, last: F.Column, k: F.Column) -> F.Column:
+    return (F.shiftleft(n.cast("long"), 32) + F.shiftleft(last.cast("long"), 3) + k).alias("m")
+
+
+def _size(m: F.Column) -> F.Column:
+    return F.shiftright(m, 32)
 
-    firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("words").alias("words"))
-    return firsts.select("id", "words").mapInArrow(order, "id long, words array<long>, n int, rare int")
+
+def _last(m: F.Column) -> F.Column:
+    return F.shiftright(m, 3).bitwiseAND(F.lit((1 << 29) - 1))
+
+
+def _words_of(m: F.Column) -> F.Column:
+    return m.bitwiseAND(F.lit(7))
 
 
 def _first_keys(sets: DataFrame) -> DataFrame:
-    """(key, id, n, last, k): a row's possible first common word, if rare, else first two."""
+    """(key, id, m, calm) of a row's possible first common word, if rare, else first two words.
+
+    ``calm`` keys are in at most KEY_ROWS rows, since their first word is.
+    """
     prefix = F.col("n") - _fewest_common(F.col("n")) + 1
-    single = sets.select("id", "n", F.posexplode(F.slice("words", F.lit(1), F.least("rare", prefix))).alias("last", "key")).select("key", "id", "n", "last", F.lit(1).alias("k"))
-    frequent = sets.where(F.col("rare") < prefix).select("id", "n", "words", prefix.alias("p"), F.explode(F.sequence("rare", prefix - 1)).alias("i"))
-    frequent = frequent.where("i < p").select("id", "n", "words", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("p"), F.col("n") - 1))).alias("last"))
     word = lambda i: F.get("words", i)
-    double = frequent.select(F.xxhash64(word(F.col("i")), word(F.col("last"))).alias("key"), "id", "n", "last", F.lit(2).alias("k"))
+    single = sets.select("id", "n", "busy", F.posexplode(F.slice("words", F.lit(1), F.least("rare", prefix))).alias("at", "key"))
+    single = single.select("key", "id", _packed(F.col("n"), F.col("at"), F.lit(1)), (F.col("at") < F.col("busy")).alias("calm"))
+    frequent = sets.where(F.col("rare") < prefix).select("id", "n", "words", "busy", prefix.alias("p"), F.explode(F.sequence("rare", prefix - 1)).alias("i"))
+    frequent = frequent.where("i < p").select("id", "n", "words", "busy", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("p"), F.col("n") - 1))).alias("at"))
+    double = frequent.select(F.xxhash64(word(F.col("i")), word(F.col("at"))).alias("key"), "id", _packed(F.col("n"), F.col("at"), F.lit(2)), (F.col("i") < F.col("busy")).alias("calm"))
     return single.unionByName(double)
 
 
 def _meet(keys: DataFrame) -> DataFrame:
     """Candidate (a, b) under shared keys that can still reach the overlap."""
-    a = keys.select("key", "k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("last").alias("ia"))
-    b = keys.select("key", "k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("ib"))
-    most = F.col("k") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    return a.join(b, ["key", "k"]).where((F.col("a") < F.col("b")) & (most * sum(OVERLAP) >= (F.col("na") + F.col("nb")) * OVERLAP[0])).select("a", "b")
+    a = keys.select("key", F.col("id").alias("a"), F.col("m").alias("ma"))
+    b = keys.select("key", F.col("id").alias("b"), F.col("m").alias("mb"))
+    left = lambda m: _size(m) - _last(m)
+    most = _words_of(F.col("ma")) + F.least(left(F.col("ma")), left(F.col("mb"))) - 1
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (most * sum(OVERLAP) >= (_size(F.col("ma")) + _size(F.col("mb"))) * OVERLAP[0])).select("a", "b")
 
 
 def set_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of the distinct sets of ``ordered_sets`` that overlap enough."""
-    found, level = [], _first_keys(sets)
-    while True:
-        level = persist_table(level, "keys").repartition("key", "k")  # one exchange for the count and both sides of the join
-        last = level.where(f"k < {KEY_WORDS}").isEmpty()
-        crowded = persist_table(level.groupBy("key", "k").agg(F.count("*").alias("rows")).where(f"rows > {KEY_ROWS} AND k < {KEY_WORDS}"), "crowded")
-        found.append(_meet(level.join(crowded, ["key", "k"], "left_anti")))
-        if last:
+    """(a, b): pairs of different sets of ``ordered_sets`` that overlap enough."""
+    keys = _first_keys(sets)
+    found = [_meet(keys.where("calm").select("key", "id", "m").repartition("key"))]  # one exchange for both sides
+    level = keys.where("NOT calm").select("key", "id", "m")
+    for k in range(2, KEY_WORDS + 1):
+        level = persist_table(level, "keys").repartition("key")
+        if level.isEmpty():
             break
-        hot = level.join(crowded, ["key", "k"]).select("key", "id", "n", "last", "k").join(sets.select("id", "words"), "id")
-        until = F.least(F.col("n") - _fewest_common(F.col("n")) + F.col("k"), F.col("n") - 1)
-        longer = hot.withColumn("until", until).where("last < until").select("id", "n", "key", "k", "words", F.explode(F.sequence(F.col("last") + 1, F.col("until"))).alias("next"))
-        level = longer.select(F.xxhash64("key", F.get("words", F.col("next"))).alias("key"), "id", "n", F.col("next").alias("last"), (F.col("k") + 1).alias("k"))
+        if k == KEY_WORDS:
+            found.append(_meet(level))
+            break
+        crowded = persist_table(level.groupBy("key").agg(F.count("*").alias("rows")).where(f"rows > {KEY_ROWS}").select("key"), "crowded")
+        found.append(_meet(level.join(crowded, "key", "left_anti")))
+        hot = level.join(crowded, "key", "left_semi").join(sets.select("id", "words"), "id")
+        n, last, words = _size(F.col("m")).cast("int"), _last(F.col("m")).cast("int"), _words_of(F.col("m")).cast("int")
+        until = F.least(n - _fewest_common(n) + words, n - 1)
+        longer = hot.where(last < until).select("id", "key", "words", n.alias("n"), words.alias("k"), F.explode(F.sequence(last + 1, until)).alias("next"))
+        level = longer.select(F.xxhash64("key", F.get("words", F.col("next"))).alias("key"), "id", _packed(F.col("n"), F.col("next"), F.col("k") + 1))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
@@ -178,16 +209,21 @@ def set_pairs(sets: DataFrame) -> DataFrame:
 
 
 def text_pairs(rows: DataFrame) -> DataFrame:
-    """(id_a, id_b) of rows (id, text) whose word sets overlap by 0.7. Every such pair, once."""
-    sets = persist_table(word_sets(rows), "sets")
-    pairs = set_pairs(persist_table(ordered_sets(sets), "ordered"))
-    firsts = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = persist_table(sets.select("id", "s1", "s2").join(firsts, ["s1", "s2"]).select("rep", "id", "copies"), "members")
-    left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    many = members.where("copies > 1")
-    same = many.alias("l").join(many.alias("r"), F.expr("l.rep = r.rep AND l.id < r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
-    return near.unionByName(same)
+    """(id_a, id_b) of rows (id, text) whose word sets overlap by 0.7. Every such pair, once.
+
+    Of rows with one and the same set only the first is searched with; the others take over its
+    pairs.
+    """
+    sets = persist_table(ordered_sets(word_sets(rows)).withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), "words")}), "sets")
+    same = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copies = persist_table(sets.select("id", "s1", "s2").join(same, ["s1", "s2"]).select("rep", "id"), "copies")
+    others = copies.where("id <> rep")
+    pairs = persist_table(set_pairs(sets.join(others, "id", "left_anti").select("id", "words", "n", "rare", "busy")), "setpairs")
+    near = pairs.unionByName(pairs.join(others, F.col("a") == F.col("rep")).select(F.col("id").alias("a"), "b"))
+    near = near.unionByName(near.join(others, F.col("b") == F.col("rep")).select("a", F.col("id").alias("b")))
+    near = near.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    equal = copies.alias("l").join(copies.alias("r"), F.expr("l.rep = r.rep AND l.id < r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
+    return near.unionByName(equal)
 
 
 # --- groups ---------------------------------------------------------------------------------
