@@ -267,10 +267,10 @@ def test_levels_on_held_out_grades():
     y = np.array([level.LEVELS.index(x) for _, x in rows])
     cut = int(len(rows) * 0.7)
     model = level.train([t for t, _ in rows[:cut]], y[:cut])
-    got = np.array([model.document(t).argmax() for t, _ in rows[cut:]])
+    got = model.documents([t for t, _ in rows[cut:]]).argmax(1)
     assert (got == y[cut:]).mean() > 0.92
-    assert np.isnan(model.document("")).all() and np.isnan(model.document("123 456")).all()
-    assert level.train([], np.zeros(0, int)).document("any words here").argmax() == 1
+    assert np.isnan(model.documents(["", "123 456", None])).all()
+    assert level.train([], np.zeros(0, int)).documents(["any words here"]).argmax() == 1
 
 
 # --- 6 calibrated samples ---------------------------------------------------------------------

@@ -9,13 +9,13 @@ models that did not see the document.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,10 @@ MAX_FEATURES = 60_000
 MIN_WORDS = 40
 #: Words after which a sentence without any mark is cut.
 LONG = 30
-_WORD = regex.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_CLAUSE = regex.compile(r"(?<=[.!?])\s+|\n+")
+#: Documents whose sentences are scored together.
+DOCUMENTS_AT_ONCE = 200
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_CLAUSE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def pieces(text: str) -> list[list[str]]:
@@ -94,11 +96,17 @@ class Model:
         z = np.add.reduceat(self._vectors[rows], np.cumsum(n) - n) / np.sqrt(n)[:, None] + self.bias
         return _softmax(z)
 
-    def document(self, text: str | None) -> np.ndarray:
-        sentences = pieces(text) if text else []
-        if not sentences:
-            return np.full(len(LEVELS), np.nan)
-        return _softmax(_profile(self.sentence_levels(sentences), sentences)[None] @ self.top)[0]
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities of the levels, one row a text; NaN for texts without a word."""
+        out = np.full((len(texts), len(LEVELS)), np.nan)
+        for low in range(0, len(texts), DOCUMENTS_AT_ONCE):
+            docs = [pieces(t) if t else [] for t in texts[low : low + DOCUMENTS_AT_ONCE]]
+            some = [i for i, d in enumerate(docs) if d]
+            if some:
+                sentences = [s for i in some for s in docs[i]]
+                x = _profiles(self.sentence_levels(sentences), [len(s) for s in sentences], [len(docs[i]) for i in some])
+                out[low + np.array(some)] = _softmax(x @ self.top)
+        return out
 
 
 def _word_features(w: str, features: dict[str, int]) -> list[tuple[int, float]]:
@@ -112,11 +120,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _profile(p: np.ndarray, sentences: list[list[str]]) -> np.ndarray:
-    """Description of a document: mean levels by sentence and by word, shares of each level."""
-    n = np.array([len(s) for s in sentences], float)
+def _profiles(p: np.ndarray, words: list[int], sentences: list[int]) -> np.ndarray:
+    """Descriptions of documents, given as runs of sentences: mean levels by sentence and by
+    word, and shares of each level by both."""
+    n = np.array(words, float)[:, None]
     hard = np.eye(len(LEVELS))[p.argmax(1)]
-    return np.concatenate([p.mean(0), (p * n[:, None]).sum(0) / n.sum(), hard.mean(0), (hard * n[:, None]).sum(0) / n.sum(), [1.0]])
+    count = np.array(sentences, float)[:, None]
+    starts = np.cumsum(sentences) - sentences
+    sums = np.add.reduceat(np.hstack([p, p * n, hard, hard * n, n]), starts)
+    k, total = len(LEVELS), sums[:, -1:]
+    return np.hstack([sums[:, :k] / count, sums[:, k : 2 * k] / total, sums[:, 2 * k : 3 * k] / count, sums[:, 3 * k : 4 * k] / total, np.ones_like(count)])
 
 
 def _fit_sentences(docs: list[list[list[str]]], y: np.ndarray, steps: int = 150) -> Model:
@@ -164,8 +177,9 @@ def train(texts: list[str], grades: np.ndarray) -> Model:
     for f in (0, 1):
         inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         part = _fit_sentences([docs[i] for i in inside], y[inside]) if len(inside) else Model()
-        for i in outside:
-            profiles[i] = _profile(part.sentence_levels(docs[i]), docs[i])
+        if len(outside):
+            held = [s for i in outside for s in docs[i]]
+            profiles[outside] = _profiles(part.sentence_levels(held), [len(s) for s in held], [len(docs[i]) for i in outside])
     target = np.eye(len(LEVELS))[y]
 
     def gradient(w: np.ndarray) -> np.ndarray:
@@ -197,7 +211,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            p = np.array([model.document(t) for t in b.column(len(keep)).to_pylist()]).reshape(-1, len(LEVELS))
+            p = model.documents(b.column(len(keep)).to_pylist())
             names = [LEVELS[int(x.argmax())] if x[0] == x[0] else None for x in p]
             columns = [*b.columns[: len(keep)], *(pa.array(p[:, k], mask=np.isnan(p[:, k])) for k in range(len(LEVELS))), pa.array(names, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(f"p_{x}" for x in LEVELS), "reading_level"])
