@@ -50,7 +50,7 @@ def _fold_table() -> tuple[str, str]:
     pairs = []
     for cp in range(sys.maxunicode + 1):
         c = chr(cp)
-        if unicodedata.category(c) in ("Cs", "Cn", "Co"):
+        if (c.lower() == c and not unicodedata.decomposition(c) and c not in LEET) or unicodedata.category(c) in ("Cs", "Cn", "Co"):
             continue
         to = _plain(c)
         if len(to) == 1 and to != c:

@@ -9,6 +9,7 @@ from wardsieve.config import ImageSettings, TextSettings
 from wardsieve.functions.text import fast_key, merge_categories, normalize
 from wardsieve.operators import blocklist as B
 from wardsieve.operators import similar, verdict
+from wardsieve.runtime import persist_table
 
 
 
@@ -32,12 +33,13 @@ def decide_texts(distinct: DataFrame, cache: DataFrame, words: DataFrame, scores
     """
     known = cache.where("length(content_hash) = 16").select(F.col("normalized_content").alias("norm"), F.col("category").alias("cached"), F.coalesce("nsfw_score", F.lit(0.0)).alias("cached_score"))
     known = known.groupBy("norm").agg(F.first("cached").alias("cached"), F.first("cached_score").alias("cached_score"), F.lit(True).alias("cache_hit"))
-    looked = distinct.join(known, "norm", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
+    # read by five branches below, the blocklist by three jobs: each is computed once
+    looked = persist_table(distinct.join(known, "norm", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))), "looked")
     flags = verdict.flags_of(F.col("cached"))
     flags = {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
     hits = looked.where("cache_hit").select("norm", "cache_hit", *[v.alias(k) for k, v in flags.items()], F.col("cached_score").alias("max_nsfw_score"), _none().alias("categories"), F.lit(False).alias("nsfw_checked"), F.lit(False).alias("detected_by_nsfw"))
 
-    listed = B.prepared(words)
+    listed = persist_table(B.prepared(words), "blocklist")
     misses = looked.where("NOT cache_hit").select("norm", "text")
     open_ = misses
     if settings.gate:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 _ROOTS: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def write_file(spark: SparkSession, uri: str, content: bytes) -> None:
+    """One file, on whatever file system the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(content)
+    out.close()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to all workers, once an application.
+
+    Workers then need neither the repository nor a path to it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    uri = f"{shared_path(spark, 'code')}/wardsieve.zip"
+    write_file(spark, uri, packed.getvalue())
+    sc.addPyFile(uri)
+    _SHIPPED.add(sc.applicationId)
+
+
 def persist_table(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it; lineage ends there.
 
