@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardsieve.runtime import load, shared_path, spread
+from wardsieve.runtime import load, shared_path, spread, write_file
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -249,11 +249,9 @@ class Published:
     def __init__(self, spark: SparkSession, name: str, content: bytes):
         jvm, uri = spark._jvm, shared_path(spark, name)
         path = jvm.org.apache.hadoop.fs.Path(uri)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        out = fs.create(path)
-        out.write(content)
-        out.close()
-        self.local = path.toUri().getPath() if fs.getScheme() == "file" else ""
+        write_file(spark, uri, content)
+        local = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+        self.local = path.toUri().getPath() if local else ""
         self.name = path.getName()
         if not self.local:
             spark.sparkContext.addFile(uri)
