@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardsieve.runtime import persist_table
 from wardsieve.schemas import DEFAULTS
 
 #: Columns that a conflicting insert replaces; all others keep the first value.
@@ -91,15 +92,14 @@ def sync_dataset(cache: DataFrame, dataset: DataFrame, key: str) -> DataFrame:
     return dataset.unionByName(numbered.select(*dataset.columns))
 
 
-def numbered_by(rows: DataFrame, key: str, *, parts: int = 64) -> DataFrame:
+def numbered_by(rows: DataFrame, key: str, *, parts: int | None = None) -> DataFrame:
     """``rows`` with ``__n``: 1, 2, 3 ... in order of the unique ``key``.
 
     Numbers come from counts of key ranges and a rank within each, so no task sorts all rows.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id())
-    # the scan order of a range partitioning depends on sampling; a table fixes it
-    from wardsieve.runtime import persist_table
-
+    # the bounds of a range partitioning depend on sampling; a table fixes them
     ranged = persist_table(ranged, "ranged")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
