@@ -134,6 +134,28 @@ def test_image_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_groups_count_links_without_expanding(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    vals = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(4)]
+    rows = [(i + 1, signed(v)) for i, v in enumerate(vals)] + [(1000 + i, 77) for i in range(40)] + [(2000, 1 << 40)]
+    df = spark.createDataFrame(rows, "id long, phash long")
+    pairs = [(r.id_a, r.id_b) for r in nearcopies.image_pairs(df).collect()]
+    links, parent = {}, {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    got = {r.id: (r.group_id, r.links) for r in nearcopies.groups(*nearcopies.image_classes(df)).collect()}
+    assert got == {i: (root(i), n) for i, n in links.items()}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

@@ -71,14 +71,36 @@ def hash_pairs(hashes: DataFrame, col: str = "phash") -> DataFrame:
     return met.where(here).select("a", "b")
 
 
+def image_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), near pairs of first rows of each hash; (rep, id), the rows of repeated hashes.
+
+    Null and 0 hashes are in neither.
+    """
+    rows = rows.where("phash IS NOT NULL AND phash <> 0").select("id", "phash")
+    firsts = persist_table(rows.groupBy("phash").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "hashes")
+    pairs = hash_pairs(firsts.select("phash"))
+    for side in ("a", "b"):
+        at = firsts.select(F.col("phash").alias(side), F.col("rep").alias(f"id_{side}"))
+        pairs = pairs.join(at, side)
+    copies = rows.join(firsts.where("copies > 1"), "phash").select("rep", "id")
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")), copies
+
+
+def expanded(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id_a, id_b): all pairs of rows from pairs (a, b) of classes' first rows and the rows
+    (rep, id) of classes with several."""
+    pairs, copies = persist_table(pairs, "classpairs"), persist_table(copies, "copies")
+    others = copies.where("id <> rep")
+    near = pairs.unionByName(pairs.join(others, F.col("a") == F.col("rep")).select(F.col("id").alias("a"), "b"))
+    near = near.unionByName(near.join(others, F.col("b") == F.col("rep")).select("a", F.col("id").alias("b")))
+    near = near.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    equal = copies.alias("l").join(copies.alias("r"), F.expr("l.rep = r.rep AND l.id < r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
+    return near.unionByName(equal)
+
+
 def image_pairs(rows: DataFrame) -> DataFrame:
     """(id_a, id_b): rows (id, phash) within 8 bits. Null and 0 hashes are in no pair."""
-    rows = rows.where("phash IS NOT NULL AND phash <> 0").select("id", "phash")
-    pairs = hash_pairs(rows.select("phash").distinct())
-    left, right = rows.select(F.col("id").alias("x"), F.col("phash").alias("a")), rows.select(F.col("id").alias("y"), F.col("phash").alias("b"))
-    near = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = rows.alias("l").join(rows.alias("r"), F.expr("l.phash = r.phash AND l.id < r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
-    return near.unionByName(same)
+    return expanded(*image_classes(rows))
 
 
 # --- word sets ------------------------------------------------------------------------------
@@ -208,22 +230,21 @@ def set_pairs(sets: DataFrame) -> DataFrame:
     return pairs.where(common * sum(OVERLAP) >= (F.size("wa") + F.size("wb")) * OVERLAP[0]).select("a", "b")
 
 
-def text_pairs(rows: DataFrame) -> DataFrame:
-    """(id_a, id_b) of rows (id, text) whose word sets overlap by 0.7. Every such pair, once.
+def text_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), near pairs of first rows of each word set; (rep, id), the rows of repeated sets.
 
-    Of rows with one and the same set only the first is searched with; the others take over its
-    pairs.
+    Of rows with one and the same set only the first is searched with.
     """
     sets = persist_table(ordered_sets(word_sets(rows)).withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), "words")}), "sets")
     same = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = persist_table(sets.select("id", "s1", "s2").join(same, ["s1", "s2"]).select("rep", "id"), "copies")
-    others = copies.where("id <> rep")
-    pairs = persist_table(set_pairs(sets.join(others, "id", "left_anti").select("id", "words", "n", "rare", "busy")), "setpairs")
-    near = pairs.unionByName(pairs.join(others, F.col("a") == F.col("rep")).select(F.col("id").alias("a"), "b"))
-    near = near.unionByName(near.join(others, F.col("b") == F.col("rep")).select("a", F.col("id").alias("b")))
-    near = near.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
-    equal = copies.alias("l").join(copies.alias("r"), F.expr("l.rep = r.rep AND l.id < r.id")).select(F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b"))
-    return near.unionByName(equal)
+    firsts = sets.join(copies.where("id <> rep"), "id", "left_anti").select("id", "words", "n", "rare", "busy")
+    return set_pairs(firsts), copies
+
+
+def text_pairs(rows: DataFrame) -> DataFrame:
+    """(id_a, id_b) of rows (id, text) whose word sets overlap by 0.7. Every such pair, once."""
+    return expanded(*text_classes(rows))
 
 
 # --- groups ---------------------------------------------------------------------------------
@@ -266,16 +287,25 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
     return tag("text", text_pairs(texts)).unionByName(tag("image", image_pairs(images)))
 
 
+def groups(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, group_id, links): each row that has a near-copy, the smallest id of its group, and how
+    many near-copies it has. Classes of equal rows are never expanded into pairs."""
+    pairs, copies = persist_table(pairs, "classpairs"), persist_table(copies, "copies")
+    sizes = copies.groupBy("rep").agg(F.count("*").alias("size"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    near = both.join(sizes.withColumnRenamed("rep", "other"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("size", F.lit(1))).alias("near"))
+    named = components(pairs).withColumnRenamed("node", "rep")
+    classes = near.join(named, "rep").join(sizes, "rep", "full")
+    classes = classes.select("rep", F.coalesce("group", "rep").alias("group_id"), (F.coalesce("near", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("links"))
+    rows = copies.unionByName(near.join(sizes, "rep", "left_anti").select("rep", F.col("rep").alias("id")))
+    return rows.join(classes, "rep").select("id", "group_id", "links")
+
+
 def p2_groups(spark, sf_dir: str) -> DataFrame:
     """(kind, id, group_id, links): every row that has a near-copy, its group and its links."""
-    out = None
-    for kind, pairs in (("text", text_pairs), ("image", image_pairs)):
-        found = persist_table(pairs(_rows(spark, sf_dir)[kind == "image"]), "pairs")
-        groups = components(found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-        ends = found.select(F.explode(F.array("id_a", "id_b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        one = groups.join(ends, "node").select(F.lit(kind).alias("kind"), F.col("node").alias("id"), F.col("group").alias("group_id"), "links")
-        out = one if out is None else out.unionByName(one)
-    return out
+    texts, images = _rows(spark, sf_dir)
+    tag = lambda kind, df: df.select(F.lit(kind).alias("kind"), "id", "group_id", "links")
+    return tag("text", groups(*text_classes(texts))).unionByName(tag("image", groups(*image_classes(images))))
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
