@@ -35,8 +35,8 @@ def remove_bad_words(cache: DataFrame, words: DataFrame) -> DataFrame:
 
 def list_bad_words(cache: DataFrame, category: str = "", limit: int = 10, offset: int = 0) -> DataFrame:
     """A page with ``total``; safe rows too if no category is given; limit 0 gives none."""
-    total = tables.count(cache, category).select(F.col("n").alias("total"))
-    return tables.listing(cache, "content_hash", category=category, limit=limit, offset=offset).join(F.broadcast(total))
+    total = tables.count(cache, category).first().n
+    return tables.listing(cache, "content_hash", category=category, limit=limit, offset=offset).withColumn("total", F.lit(total).cast("long"))
 
 
 def rebuild_filters(cache: DataFrame) -> DataFrame:

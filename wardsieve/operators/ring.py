@@ -47,8 +47,9 @@ def lookup(values: DataFrame, ring_: DataFrame, value: str) -> DataFrame:
     firsts = marks.groupBy("cell").agg(F.min_by("nodes", "h").alias("first"))
     after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     every = values.sparkSession.range(4096).select(F.col("id").cast("int").alias("cell")).join(firsts, "cell", "left").withColumn("next", F.last("first", ignorenulls=True).over(after))
-    lowest = keys.agg(F.min_by("nodes", "ring_key").alias("lowest"))
-    met = found.join(F.broadcast(every.select("cell", "next")), "cell").join(F.broadcast(lowest))
-    nodes = F.coalesce("nodes", "next", "lowest")
+    lowest = keys.agg(F.min_by("nodes", "ring_key")).first()[0]
+    wrap = F.lit(None).cast("array<string>") if lowest is None else F.array(*map(F.lit, lowest))
+    met = found.join(F.broadcast(every.select("cell", "next")), "cell")
+    nodes = F.coalesce("nodes", "next", wrap)
     pick = F.when(F.size(nodes) == 1, nodes[0]).otherwise(F.get(nodes, (sha_number(F.concat(F.lit(f"{INNER}:"), F.col(value).cast("string"))) % F.size(nodes)).cast("int")))
     return met.select(value, pick.alias("node"))

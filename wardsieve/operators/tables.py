@@ -87,8 +87,8 @@ def sync_dataset(cache: DataFrame, dataset: DataFrame, key: str) -> DataFrame:
         new = new.join(dataset.select("normalized_content").distinct(), "normalized_content", "left_anti")
         smallest = new.where("normalized_content IS NOT NULL").groupBy("normalized_content").agg(F.min(key).alias(key))
         new = new.join(smallest.select(key), key, "left_semi").unionByName(new.where("normalized_content IS NULL"))
-    top = dataset.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    numbered = numbered_by(new, key).join(F.broadcast(top)).withColumn("id", F.col("__n") + F.col("__top")).withColumn("expires_at", F.lit(None).cast("timestamp"))
+    top = dataset.agg(F.max("id")).first()[0] or 0
+    numbered = numbered_by(new, key).withColumn("id", (F.col("__n") + F.lit(top)).cast("long")).withColumn("expires_at", F.lit(None).cast("timestamp"))
     return dataset.unionByName(numbered.select(*dataset.columns))
 
 
