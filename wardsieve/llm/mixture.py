@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardsieve.llm.lexicon import compile_lexicon, token_counts
@@ -80,9 +80,9 @@ def plan(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     source a task.
     """
     hist = persist_table(sizes.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "lengths")
-    total = hist.agg(F.coalesce(F.sum(F.col("n") * F.col("n_tokens")), F.lit(0)).alias("all_tokens"))
+    total = hist.agg(F.sum(F.col("n") * F.col("n_tokens"))).first()[0] or 0
     asked = weights.select("source", F.coalesce("target_share", F.lit(0.0)).cast("double").alias("target_share"), F.coalesce("max_repeat", F.lit(0)).cast("int").alias("max_repeat"))
-    rows = asked.join(hist, "source", "left").join(F.broadcast(total))
+    rows = asked.join(hist, "source", "left").withColumn("all_tokens", F.lit(total).cast("long"))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n_tokens").reset_index(drop=True)
@@ -102,9 +102,9 @@ def shares(planned: DataFrame) -> DataFrame:
         *[F.first(c).alias(c) for c in ("target_share", "max_repeat", "source_tokens", "all_tokens", "full_copies")], F.coalesce(F.sum(F.col("take") * F.col("n_tokens")), F.lit(0)).alias("extra_tokens")
     )
     by = by.withColumn("mix_tokens", F.col("full_copies") * F.col("source_tokens") + F.col("extra_tokens"))
-    total = by.agg(F.sum("mix_tokens").alias("mix_total"))
+    total = F.sum("mix_tokens").over(Window.partitionBy())  # one row a source
     target = F.col("target_share") * F.col("all_tokens")
-    return by.join(F.broadcast(total)).select(
+    return by.withColumn("mix_total", total).select(
         "source", "target_share", target.alias("target_tokens"), "source_tokens", "max_repeat", "mix_tokens", F.when(F.col("mix_total") > 0, F.col("mix_tokens") / F.col("mix_total")).alias("mix_share"), (F.col("max_repeat") * F.col("source_tokens") < target).alias("short")
     )
 
