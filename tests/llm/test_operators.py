@@ -283,6 +283,27 @@ def test_sentences_are_located_and_disguises_undone():
     assert abuse.train([], np.zeros(0), {"idiot": "insult"}).score("a idiot")[0] >= abuse.CUT
 
 
+@pytest.mark.parametrize("bound", [50_000, 10])
+def test_every_listed_term_counts_however_late(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(abuse, "BROADCAST_TERMS", bound, raising=False)
+    words = [(i, "idiot" if i % 2 else f"word{i}", "insult", i) for i in range(2500)] + [(2500, "m0r\u00f3n", " Hate", 0), (2501, "moron", "insult", 0), (2502, "utter waste", "threat", 0)]
+    texts = [(1, "what a moron"), (2, "what a m o r o n it is"), (3, "what a morooooon"), (4, "an utter w.a.s.t.e of air"), (5, "the lamp is utter joy"), (6, None)]
+    spark.createDataFrame(words, "req_id long, word string, category string, n int").write.parquet(f"{tmp_path}/bad_word.parquet")
+    spark.createDataFrame(texts, "id long, normalized_content string").write.parquet(f"{tmp_path}/text_dataset.parquet")
+    spark.createDataFrame([], "id long, abusive int").write.parquet(f"{tmp_path}/text_review.parquet")
+    got = {r.id: r.score for r in abuse.p5_scores(spark, str(tmp_path)).collect()}
+    assert {i for i, x in got.items() if x >= abuse.CUT} == {1, 2, 3, 4} and len(got) == 6
+    assert {tuple(r) for r in abuse.listed_terms(spark.read.parquet(f"{tmp_path}/bad_word.parquet")).where("term LIKE 'm%'").collect()} == {("moron", "hate")}
+
+
+def test_joined_terms_give_the_broadcast_scores(spark, monkeypatch):
+    want = {tuple(r) for r in abuse.p5_scores(spark, "/root/testdata/sf0.01").collect()}
+    monkeypatch.setattr(abuse, "BROADCAST_TERMS", 10)
+    got = {tuple(r) for r in abuse.p5_scores(spark, "/root/testdata/sf0.01").collect()}
+    key = lambda rows: {(i, round(p, 6), s, round(q, 6)) for i, p, s, q in rows}
+    assert key(got) == key(want)
+
+
 def test_levels_on_held_out_grades():
     d = oracle.connect("/root/testdata/sf0.1")
     rows = d.sql("SELECT text, reading_level FROM doc_level JOIN documents USING (doc_id) WHERE text IS NOT NULL ORDER BY hash(doc_id)").fetchall()

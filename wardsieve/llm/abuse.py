@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardsieve.llm import sentences as S
-from wardsieve.runtime import folded, load, spread
+from wardsieve.runtime import folded, load, persist_table, spread
 
 #: Labelled documents that the model is fitted on at most (smallest seeded hashes).
 LABELLED = 12_000
-#: Terms of the service's list that mark tokens: the earliest requested.
-TERMS = 2_000
+#: Terms that are broadcast at most; of longer lists each text gets the terms it may hold.
+BROADCAST_TERMS = 50_000
 MAX_FEATURES = 120_000
 LISTED = ("insult", "hate", "sexual", "threat")
 #: Share of labels taken to be wrong.
@@ -60,6 +60,12 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def among(self, terms: dict[str, str]) -> Model:
+        """The same model with other terms."""
+        out = Model(terms, self.features, self.weights, self.bias, self.words)
+        out._compiled = self._tables()
+        return out
+
     def known(self, w: str) -> bool:
         return w in self.terms or w in self.words
 
@@ -177,31 +183,78 @@ def train(texts: list[str], labels: np.ndarray, terms: dict[str, str], *, steps:
     return model
 
 
-def listed_terms(words: DataFrame) -> dict[str, str]:
-    """Folded term to kind, from rows (req_id, word, category); the earliest requests win."""
-    rows = words.select("req_id", "word", folded("category").alias("kind")).where(F.col("kind").isin(*LISTED) & (F.trim("word") != "")).orderBy("req_id").limit(TERMS).toPandas()
-    out: dict[str, str] = {}
-    for w, k in zip(rows["word"], rows["kind"], strict=True):
-        out.setdefault(" ".join(S.fold(w).split()), k)
-    return out
+def listed_terms(words: DataFrame) -> DataFrame:
+    """(term, kind) from rows (req_id, word, category): every folded term, with the kind of its
+    earliest request."""
+    rows = words.select("req_id", "word", folded("category").alias("kind")).where(F.col("kind").isin(*LISTED) & (F.trim("word") != ""))
+    first = lambda df, key: df.groupBy(key).agg(F.min(F.struct("req_id", "kind")).alias("first")).select(key, "first.*")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = [" ".join(S.fold(w).split()) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(1), b.column(2)], ["term", "req_id", "kind"])
+
+    return first(first(rows, "word").mapInArrow(fold, "term string, req_id long, kind string").where("term <> ''"), "term").select("term", "kind")
+
+
+def few_terms(terms: DataFrame) -> dict[str, str] | None:
+    """All terms (term, kind) if they are no more than may be broadcast."""
+    rows = terms.limit(BROADCAST_TERMS + 1).collect()
+    return dict(map(tuple, rows)) if len(rows) <= BROADCAST_TERMS else None
+
 
+def held_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, term, kind): of each text (key, text) at least the terms it may hold, disguised or not.
 
-def fit(texts: DataFrame, reviews: DataFrame, words: DataFrame) -> Model:
-    """Model of texts (id, text) and reviews (id, abusive); null labels and texts are left out."""
+    A phrase is met by its longest word.
+    """
+    key, _ = texts.columns
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                asked = {w for s in S.split(text or "") for w in S.askable(s)}
+                asked |= {w[:-1] for w in asked if w.endswith("s")}
+                at += [i] * len(asked)
+                found += asked
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.string())], [key, "word"])
+
+    asked = texts.mapInArrow(ask, f"`{key}` {texts.schema[key].dataType.simpleString()}, word string")
+    longest = F.expr("array_max(transform(split(term, ' '), w -> struct(length(w) AS n, w AS w))).w")
+    return asked.join(terms.withColumn("word", longest), "word").select(key, "term", "kind")
+
+
+def fit(texts: DataFrame, reviews: DataFrame, terms: DataFrame) -> Model:
+    """Model of texts (id, text), reviews (id, abusive) and terms (term, kind); null labels and
+    texts are left out. Of a list too long to be broadcast it has the terms of its own texts."""
     sample = reviews.where("abusive IS NOT NULL").select("id", "abusive").orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    rows = texts.where("text IS NOT NULL").join(F.broadcast(sample), "id").orderBy("id", "abusive").toPandas()
-    return train(rows["text"].tolist(), rows["abusive"].to_numpy(), listed_terms(words))
+    labelled = texts.where("text IS NOT NULL").join(F.broadcast(sample), "id")
+    rows = labelled.orderBy("id", "abusive").toPandas()
+    known = few_terms(terms)
+    if known is None:
+        known = dict(map(tuple, held_terms(labelled.select("id", "text"), terms).select("term", "kind").distinct().collect()))
+    return train(rows["text"].tolist(), rows["abusive"].to_numpy(), known)
 
 
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (key, text) with score, worst sentence and its score in place of the text."""
+def score(rows: DataFrame, model: Model, terms: DataFrame | None = None) -> DataFrame:
+    """``rows`` (key, text; keys unique) with score, worst sentence and its score in place of the
+    text. ``terms`` (term, kind) are the list, if the model does not have all of it."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     key, text = rows.columns
+    apart = terms is not None
+    if apart:
+        held = held_terms(rows, terms).groupBy(key).agg(F.collect_set(F.struct("term", "kind")).alias("terms"))
+        rows = rows.join(held, key, "left").select(key, text, "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            scored = [model.score(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            if apart:
+                scored = [model.among({x["term"]: x["kind"] for x in held or ()}).score(t) for t, held in zip(texts, b.column(2).to_pylist(), strict=True)]
+            else:
+                scored = [model.score(t) for t in texts]
             s, worst, top = zip(*scored, strict=True) if scored else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(worst, pa.string()), pa.array(top, pa.float64())], [key, "score", "sentence", "sentence_score"])
 
@@ -210,8 +263,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
 def _scored(spark, sf_dir: str) -> DataFrame:
     texts = load(spark, sf_dir, "text_dataset").select("id", F.col("normalized_content").alias("text"))
-    model = fit(texts, load(spark, sf_dir, "text_review"), load(spark, sf_dir, "bad_word"))
-    return score(spread(texts), model)
+    terms = persist_table(listed_terms(load(spark, sf_dir, "bad_word")), "terms")
+    model = fit(texts, load(spark, sf_dir, "text_review"), terms)
+    return score(spread(texts), model, terms if few_terms(terms) is None else None)
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

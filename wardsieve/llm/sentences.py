@@ -37,13 +37,17 @@ def fold(text: str) -> str:
     return text.lower().translate(_LEET)
 
 
+def _raw(sentence: str) -> list[str]:
+    return [x if x.isalnum() else y for x in fold(sentence).split() if x.isalnum() or (y := _MARKS.sub("", x))]
+
+
 def tokens(sentence: str, known: Callable[[str], bool]) -> list[str]:
     """Folded words of a sentence, with disguises undone where that gives a known word.
 
     Marks inside a word are dropped, letters spelled apart are joined, and letters repeated
     three times or more are squeezed.
     """
-    raw = [x if x.isalnum() else y for x in fold(sentence).split() if x.isalnum() or (y := _MARKS.sub("", x))]
+    raw = _raw(sentence)
     out: list[str] = []
     i = 0
     while i < len(raw):
@@ -76,6 +80,26 @@ def tokens(sentence: str, known: Callable[[str], bool]) -> list[str]:
     return out
 
 
+def askable(sentence: str) -> set[str]:
+    """Every word that ``tokens`` may ask about or give, whatever words are known."""
+    raw = _raw(sentence)
+    out = set(raw)
+    for w in raw:
+        if _RUN.search(w):
+            out |= {_RUN.sub(r"\1", w), _RUN.sub(r"\1\1", w)}
+    i = 0
+    while i < len(raw):
+        j = i
+        while j < len(raw) and len(raw[j]) == 1:
+            j += 1
+        if j - i >= 3:
+            joined = "".join(raw[i:j])
+            tail = raw[j] if j < len(raw) and len(raw[j]) <= 3 else ""
+            out |= {joined, joined[1:], joined + tail, joined[1:] + tail}
+        i = max(j, i + 1)
+    return out
+
+
 class Rows:
     """Sparse 0/1 or weighted rows; documents are runs of rows."""
 
