@@ -316,6 +316,16 @@ def test_levels_on_held_out_grades():
     assert level.train([], np.zeros(0, int)).documents(["any words here"]).argmax() == 1
 
 
+def test_profile_covers_every_document(spark):
+    d = oracle.connect()
+    got = level.p10_profile(spark, oracle.SMALL).collect()
+    by_lang = {}
+    for r in got:
+        by_lang[r.lang] = by_lang.get(r.lang, 0) + r.n_docs
+    assert by_lang == dict(d.sql("SELECT lang, count(*) FROM documents GROUP BY lang").fetchall()) and None in by_lang
+    assert len({(r.source, r.lang, r.reading_level) for r in got}) == len(got)
+
+
 # --- 6 calibrated samples ---------------------------------------------------------------------
 
 

@@ -224,10 +224,10 @@ def n_words() -> F.Column:
     return F.size(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w != ""))
 
 
-def _graded(spark, sf_dir: str, where: str = "true") -> DataFrame:
+def _graded(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text"), load(spark, sf_dir, "doc_level"))
-    rows = docs.where(where).select("doc_id", "source", "lang", n_words().alias("n_words"), "text")
+    rows = docs.select("doc_id", "source", "lang", n_words().alias("n_words"), "text")
     return grade(spread(rows), model)
 
 
@@ -243,9 +243,8 @@ def p10_levels(spark, sf_dir: str) -> DataFrame:
 
 
 def p10_profile(spark, sf_dir: str) -> DataFrame:
-    """Documents, words and mean probabilities by source and level; English texts only."""
-    rows = _graded(spark, sf_dir, "lang = 'en'")
-    return rows.groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), *[F.avg(f"p_{x}").alias(f"mean_{x}") for x in LEVELS])
+    """Documents, words and mean probabilities of all documents by source, language and level."""
+    return _graded(spark, sf_dir).groupBy("source", "lang", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), *[F.avg(f"p_{x}").alias(f"mean_{x}") for x in LEVELS])
 
 
 QUERIES = {"p10_found": p10_found, "p10_levels": p10_levels, "p10_profile": p10_profile}
