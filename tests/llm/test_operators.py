@@ -401,6 +401,29 @@ def test_store_over_batches(spark):
     assert {f"k{i}" for i in range(1000, 1500)} <= seen and len(seen) <= 505
 
 
+def test_tables_take_in_the_batches(spark, monkeypatch):
+    asked, taken = [], []
+    decide, absorb = cuckoo.CuckooStore.decide, cuckoo.CuckooStore.absorb
+
+    def told(self, keys, order):
+        asked.extend(r.row_id for r in keys.collect())
+        return decide(self, keys, order)
+
+    def took(self, keys):
+        taken.extend(r.key for r in keys.collect())
+        return absorb(self, keys)
+
+    monkeypatch.setattr(cuckoo.CuckooStore, "decide", told)
+    monkeypatch.setattr(cuckoo.CuckooStore, "absorb", took)
+    history = spark.createDataFrame([(f"h{i}",) for i in range(50)], "key string")
+    keys = [f"h{i}" for i in range(10)] + [f"n{i}" for i in range(90)] + [f"n{i}" for i in range(90)] + [f"z{i}" for i in range(10)]
+    rows = spark.createDataFrame([("text", i, k) for i, k in enumerate(keys)], "kind string, row_id long, key string")
+    got = {r.row_id: r.exact_seen for r in cuckoo.seen_before(history, rows).collect()}
+    assert [i for i, x in got.items() if x and 10 <= i < 100] == [] and all(got[i] for i in [*range(10), *range(100, 190)])
+    # repeats in later batches are put to tables that hold the earlier keys, each once
+    assert sorted(asked) == list(range(200)) and sorted(taken) == sorted(f"n{i}" for i in range(90))
+
+
 def test_hot_key(spark):
     rows = spark.range(1, 3001).select(F.lit("t").alias("kind"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
     out = cuckoo.seen_before(spark.createDataFrame([("k1",), (None,)], "key string"), rows)
