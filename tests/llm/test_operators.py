@@ -192,6 +192,16 @@ def test_looks(spark, a, b, same):
     assert got == ({("k", "1", "2")} if same else set())
 
 
+def test_precomposed_letters_fold_like_decomposed_ones(spark):
+    letters = ["\u045e", "\u040e", "\u0477", "\u04f3", "\u1f00", "\u1f02", "\u1f80"]
+    strings = [s for c in letters for s in (f"x{c}z", unicodedata.normalize("NFD", f"x{c}z"), f"x{lookalike.ALIKE[unicodedata.normalize('NFD', c)[0]]}z")]
+    rows = spark.createDataFrame([("k", f"{i:02}", s) for i, s in enumerate(strings)], "kind string, key string, text string")
+    got = {(r.key_a, r.key_b) for r in lookalike.pairs(rows).collect()}
+    # both spellings are one, and the letter without marks is another
+    assert {(f"{i:02}", f"{i + 1:02}") for i in range(0, len(strings), 3)} <= got
+    assert not any((f"{i + j:02}", f"{i + 2:02}") in got for i in range(0, len(strings), 3) for j in (0, 1))
+
+
 def test_canonical_member_is_one_of_the_class(spark):
     rows = spark.createDataFrame([("k", "1", "раypal"), ("k", "2", "paypal"), ("k", "3", "ｐaypal"), ("k", "4", None)], "kind string, key string, text string")
     got = {r.text: (r.canonical, r.members) for r in lookalike.classes(rows).collect()}

@@ -61,14 +61,27 @@ def table() -> tuple[str, str]:
     return "".join(keep) + "".join(drop), "".join(keep.values())
 
 
+@cache
+def _several() -> dict[str, str]:
+    """Characters whose folded form has several: ligatures, and letters with marks whose base is
+    drawn like a Latin letter that has no such composition."""
+    out = dict(LIGATURES)
+    for cp in range(0x80, 0x1_0000):
+        base = unicodedata.normalize("NFD", chr(cp))
+        if len(base) > 1 and base[0] in ALIKE:
+            to = unicodedata.normalize("NFC", ALIKE[base[0]] + base[1:])
+            if len(to) > 1:
+                out[chr(cp)] = to
+    return out
+
+
 def look(col: F.Column | str) -> F.Column:
     """The folded form, before collation. Null stays null."""
     c = F.col(col) if isinstance(col, str) else col
     folded = F.translate(c, *table())
-    spread_ = folded
-    for a, b in LIGATURES.items():
-        spread_ = F.replace(spread_, F.lit(a), F.lit(b))
-    return F.when(F.rlike(c, F.lit("[" + "".join(LIGATURES) + "]")), spread_).otherwise(folded)
+    several = F.create_map(*[F.lit(x) for pair in _several().items() for x in pair])
+    spread_ = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(F.try_element_at(several, x), x)), "")
+    return F.when(F.rlike(c, F.lit("[" + "".join(_several()) + "]")), spread_).otherwise(folded)
 
 
 @cache
