@@ -392,7 +392,7 @@ def test_cuckoo_growth_deletion_and_errors():
 
 def test_full_table_loses_nothing():
     rng = np.random.default_rng(2)
-    t = cuckoo.CuckooTable(np.zeros((16, 4), np.uint16))
+    t = cuckoo.CuckooTable(np.zeros((16, 4), np.uint32))
     keys = rng.integers(0, 1 << 63, 200, dtype=np.int64).view(np.uint64)
     left = t.insert(keys)
     stored = np.setdiff1d(np.arange(200), left)
@@ -400,45 +400,49 @@ def test_full_table_loses_nothing():
 
 
 def test_store_over_batches(spark):
-    mk = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("n"))
+    mk = lambda lo, hi: spark.range(lo, hi).select(F.lit("t").alias("kind"), F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("row_id"))
     store = cuckoo.CuckooStore.build(mk(0, 1000).select("key"), 12)
-    got = {r.key: r.filter_seen for r in store.decide(mk(500, 1500), "n").collect()}
-    assert all(got[f"k{i}"] for i in range(500, 1000)) and sum(got[f"k{i}"] for i in range(1000, 1500)) <= 2
-    more = store.absorb(mk(1000, 1500).select("key"))
-    assert all(r.filter_seen for r in more.decide(mk(0, 1500), "n").collect())
+    answers, more = store.take(store.asked(mk(500, 1500)))
+    got = {r.row_id: r.seen for r in answers.collect()}
+    assert len(got) == 1000 and {i for i, x in got.items() if x} == set(range(500, 1000))
+    assert {r.key for r in more.contains(mk(0, 2000)).where("seen").collect()} == {f"k{i}" for i in range(1500)}
+    assert {r.key for r in store.contains(mk(0, 2000)).where("seen").collect()} == {f"k{i}" for i in range(1000)}  # the former store stays
     less = more.delete(mk(0, 1000).select("key"))
-    seen = {r.key for r in less.decide(mk(0, 1500), "n").where("filter_seen").collect()}
-    assert {f"k{i}" for i in range(1000, 1500)} <= seen and len(seen) <= 505
+    assert {r.key for r in less.contains(mk(0, 2000)).where("seen").collect()} == {f"k{i}" for i in range(1000, 1500)}
+    back = less.absorb(mk(0, 10).select("key"))
+    assert back.table.where("gen = 0").agg(F.sum("items")).first()[0] == 510
 
 
-def test_tables_take_in_the_batches(spark, monkeypatch):
-    asked, taken = [], []
-    decide, absorb = cuckoo.CuckooStore.decide, cuckoo.CuckooStore.absorb
+def test_tables_grow_at_saturation(spark):
+    mk = lambda lo, hi: spark.range(lo, hi).select(F.lit("t").alias("kind"), F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("row_id"))
+    store = cuckoo.CuckooStore.build(mk(0, 500).select("key"), 12)
+    assert store.table.agg(F.max("gen")).first()[0] == 0
+    for lo in (500, 3000):
+        answers, store = store.take(store.asked(mk(lo, lo + 8000)))
+        assert {r.row_id for r in answers.where("seen").collect()} == set(range(3000, 8500) if lo == 3000 else ())
+    assert store.table.agg(F.max("gen")).first()[0] > 0
+    assert store.contains(mk(0, 11000)).where("seen").count() == 11000
 
-    def told(self, keys, order):
-        asked.extend(r.row_id for r in keys.collect())
-        return decide(self, keys, order)
 
-    def took(self, keys):
-        taken.extend(r.key for r in keys.collect())
-        return absorb(self, keys)
-
-    monkeypatch.setattr(cuckoo.CuckooStore, "decide", told)
-    monkeypatch.setattr(cuckoo.CuckooStore, "absorb", took)
+def test_every_repeat_is_answered_by_a_table(spark, monkeypatch):
+    """With tables that have seen nothing, no row is known: nothing beside them decides."""
     history = spark.createDataFrame([(f"h{i}",) for i in range(50)], "key string")
-    keys = [f"h{i}" for i in range(10)] + [f"n{i}" for i in range(90)] + [f"n{i}" for i in range(90)] + [f"z{i}" for i in range(10)]
-    rows = spark.createDataFrame([("text", i, k) for i, k in enumerate(keys)], "kind string, row_id long, key string")
-    got = {r.row_id: r.exact_seen for r in cuckoo.seen_before(history, rows).collect()}
-    assert [i for i, x in got.items() if x and 10 <= i < 100] == [] and all(got[i] for i in [*range(10), *range(100, 190)])
-    # repeats in later batches are put to tables that hold the earlier keys, each once
-    assert sorted(asked) == list(range(200)) and sorted(taken) == sorted(f"n{i}" for i in range(90))
-
-
-def test_hot_key(spark):
-    rows = spark.range(1, 3001).select(F.lit("t").alias("kind"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
-    out = cuckoo.seen_before(spark.createDataFrame([("k1",), (None,)], "key string"), rows)
-    seen = {r.row_id for r in out.where("exact_seen").collect()}
-    assert seen == {1} | {i for i in range(6, 3001, 3)}
+    keys = [f"h{i}" for i in range(10)] + [f"n{i}" for i in range(90)] + [f"n{i}" for i in range(90)] + [f"z{i}" for i in range(10)] + [None]
+    rows = spark.createDataFrame([("text", i, k) for i, k in enumerate(keys)], "kind string, row_id long, key string").repartition(3)
+    answers = cuckoo.seen_before(history, rows)
+    assert {r.row_id for r in answers.where("seen").collect()} == {*range(10), *range(100, 190)} and answers.count() == 201
+    report = cuckoo.audit(history, rows, answers, every=1).first()
+    assert (report.n_rows, report.n_seen, report.n_audited, report.n_wrong) == (201, 100, 200, 0)
+    flipped = answers.withColumn("seen", ~F.col("seen") & (F.col("row_id") < 200))
+    assert cuckoo.audit(history, rows, flipped, every=1).first().n_wrong == 200
+
+
+def test_hot_key_reaches_its_shard_once_a_task(spark):
+    rows = spark.range(1, 3001).select(F.lit("t").alias("kind"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key")).repartition(4)
+    history = spark.createDataFrame([("k1",), (None,)], "key string")
+    assert {r.row_id for r in cuckoo.seen_before(history, rows).where("seen").collect()} == {1} | {i for i in range(6, 3001, 3)}
+    sent = cuckoo.CuckooStore.build(history, 12).asked(rows).where("NOT seen")
+    assert sent.where("row_id % 3 = 0").count() <= 4 and sent.where("row_id % 3 <> 0").count() == 2000
 
 
 # --- 8 encoding, 9 mixing ---------------------------------------------------------------------
