@@ -216,23 +216,35 @@ def test_covering_code_is_perfect():
     assert len(one) == 2048 and one["syndrome"].is_unique and len(history.offsets(5)) == 44_552
 
 
-def test_probe_equals_brute_force(spark):
+def images(spark, rows, *more):
+    return history.keyed_images(spark.createDataFrame(rows, "file_hash string, phash long, batch_no int, row_id long"), *more)
+
+
+@pytest.mark.parametrize("cell_rows", [1000, 2])
+def test_batches_equal_brute_force(spark, monkeypatch, cell_rows):
+    """With small cells most rows lie in sub-cells; nothing is lost."""
+    monkeypatch.setattr(history, "CELL_ROWS", cell_rows)
     rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(120)]
-    past = base[:60]
+    base = [rng.getrandbits(64) for _ in range(90)]
+    past = base[:50]
     batch = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 12))) for b in base for _ in range(3)]
-    cache = spark.createDataFrame([(f"c{i}", signed(h)) for i, h in enumerate(past)] + [("zero", 0), ("none", None)], "key string, phash long")
-    rows = [(None, signed(h), i % 5 + 1, i + 1) for i, h in enumerate(batch)] + [("c3", None, 2, 900), ("new", 0, 2, 901), ("new", 0, 3, 902)]
-    got = {r.row_id for r in history.known_images(cache, spark.createDataFrame(rows, "key string, phash long, batch_no int, row_id long")).collect()}
-    known = {i + 1 for i, h in enumerate(batch) if any(gap(h, p) <= 8 for p in past) or any(gap(h, g) <= 8 and (j % 5 + 1, j + 1) < (i % 5 + 1, i + 1) for j, g in enumerate(batch))}
+    crowd = [base[0] ^ 1 << rng.randrange(40) ^ 1 << rng.randrange(40) for _ in range(30)]
+    cache = [(f"c{i}", signed(h), 0, -1) for i, h in enumerate(past)] + [("zero", 0, 0, -1), ("none", None, 0, -1)]
+    rows = [(None, signed(h), i % 3 + 1, i + 1) for i, h in enumerate(batch + crowd)] + [(" C3 ", None, 2, 900), ("new", 0, 2, 901), ("new", 0, 3, 902), ("", None, 3, 903)]
+    store = history.BatchStore(spark)
+    store.append(history.hashes_of(store.admit(images(spark, cache).withColumns({"batch_no": F.lit(history.HISTORY), "row_id": F.lit(-1).cast("long")}))))
+    got = {r.row_id for r in history.run(store, images(spark, rows, "row_id", "batch_no"), 1 if cell_rows == 2 else 3).collect()}
+    known = {i + 1 for i, h in enumerate(batch + crowd) if any(gap(h, p) <= 8 for p in past) or any(gap(h, g) <= 8 and (j % 3 + 1, j + 1) < (i % 3 + 1, i + 1) for j, g in enumerate(batch + crowd))}
     assert got == known | {900, 902}
 
 
-def test_nearest_distances_and_appending(spark):
+@pytest.mark.parametrize("cell_rows", [1000, 1])
+def test_nearest_distances_and_appending(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(history, "CELL_ROWS", cell_rows)
     rng = random.Random(6)
     past = [rng.getrandbits(64) for _ in range(80)]
     asked = [h ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 10))) for h in past]
-    store = history.CellStore(spark)
+    store = history.BatchStore(spark)
     mk = lambda hs, no, at: spark.createDataFrame([(signed(h), no, at + i) for i, h in enumerate(hs)], "phash long, batch_no int, row_id long")
     store.append(mk(past[:40], 0, 1))
     store.append(mk(past[40:], 1, 1000))
@@ -241,12 +253,32 @@ def test_nearest_distances_and_appending(spark):
     assert got == {k: v for k, v in want.items() if v <= 8}
 
 
-def test_hot_keys_and_crowds(spark):
+def test_later_batches_read_no_earlier_source_and_a_store_is_opened_again(spark, tmp_path):
+    import shutil
+
+    h = 0x1234_5678_9ABC_DEF0
+    first = [("a", signed(h), 1, 1), ("b", signed(h ^ 7), 1, 2), ("B ", None, 1, 3)]
+    spark.createDataFrame(first, "file_hash string, phash long, batch_no int, row_id long").write.parquet(f"{tmp_path}/one")
+    store = history.BatchStore(spark, f"{tmp_path}/store", buckets=3)
+    found = store.check(history.keyed_images(spark.read.parquet(f"{tmp_path}/one"), "row_id", "batch_no"))
+    assert {tuple(r) for r in found.collect()} == {("p", 2), ("f", 3)}
+    store.close()
+    shutil.rmtree(f"{tmp_path}/one")
+    again = history.BatchStore(spark, f"{tmp_path}/store", buckets=3)
+    assert sum(again.sizes.values()) == 6
+    found = again.check(images(spark, [(" A", None, 2, 4), (None, signed(h ^ 3), 2, 5), ("x", signed(~h & (2**64 - 1)), 2, 6)], "row_id", "batch_no"))
+    assert {tuple(r) for r in found.collect()} == {("f", 4), ("p", 5)}
+    assert sorted(r.row_id for r in again.known().collect()) == [2, 3, 4, 5]
+    plan = again.keys().where("batch_no = 1")._jdf.queryExecution().toString()
+    assert "one" not in plan and "Bucketed: " in again.keys().join(spark.range(3).withColumn("key", F.col("id").cast("string")).hint("merge"), "key")._jdf.queryExecution().toString()
+
+
+def test_hot_keys_and_crowds(spark, monkeypatch):
     """A third of all rows share a key, another third are altered copies of one image."""
+    monkeypatch.setattr(history, "CELL_ROWS", 20)
     h = 0x1234_5678_9ABC_DEF0
     rows = [("hot", None, 1, i) for i in range(1, 400)] + [(f"k{i}", signed(h ^ (1 << i % 60)), 2, i) for i in range(400, 800)]
-    batch = spark.createDataFrame(rows, "key string, phash long, batch_no int, row_id long")
-    got = {r.row_id for r in history.known_images(spark.createDataFrame([], "key string, phash long"), batch).collect()}
+    got = {r.row_id for r in history.run(history.BatchStore(spark), images(spark, rows, "row_id", "batch_no")).collect()}
     assert got == set(range(2, 400)) | set(range(401, 800))
 
 
