@@ -47,7 +47,7 @@ def test_position_uses_the_listed_length(spark):
     assert (r.position, r.end) == (2, 6)
 
 
-def test_search_equals_naive_and_blocks_do_not_matter(spark, monkeypatch):
+def test_search_equals_naive_however_full_the_bitmap(spark, monkeypatch):
     rng = random.Random(5)
     pats = list({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)})
     docs = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(20)]
@@ -55,12 +55,23 @@ def test_search_equals_naive_and_blocks_do_not_matter(spark, monkeypatch):
     want = sorted((i, p, k) for i, d in enumerate(docs) for p in pats for k in range(len(d) - len(p) + 1) if d.startswith(p, k))
     got = sorted((r.id, r.word, r.position) for r in B.search(texts(spark, *docs), listed, "id").collect())
     assert got == want
-    monkeypatch.setattr(B, "BLOCK_PATTERNS", 7)
+    monkeypatch.setattr(B, "BITMAP_POWER", 16)
+    monkeypatch.setattr(B, "CHOICES", 1)
     assert sorted((r.id, r.word, r.position) for r in B.search(texts(spark, *docs), listed, "id").collect()) == want
-    monkeypatch.setattr(B, "NATIVE_PATTERNS", 1)
     assert {r.id for r in B.contains_any(texts(spark, *docs), listed, "id").collect()} == {i for i, _, _ in want}
 
 
+def test_long_and_strange_patterns(spark):
+    long = "so long a pattern that it has an anchor of thirty-two characters, 🙂 or so"
+    docs = [f"x {long}{long}", long[1:], "🙂", "aaaaaaa", None, ""]
+    got = {(r.id, r.word, r.position) for r in B.search(texts(spark, *docs), words(spark, (long, 0.9), ("🙂", 0.1), ("aaaa", 0.2)), "id").collect()}
+    smile = long.index("🙂")
+    n = len(B.prepared(spark.createDataFrame([(long, "", 0.1)], "word string, category string, nsfw_score double")).first().norm_word)
+    assert {(0, long, 2), (0, long, 2 + n)} == {(i, w, p) for i, w, p in got if w == long}
+    assert {(i, p) for i, w, p in got if w == "🙂"} == {(0, 2 + smile), (0, 2 + n + smile), (1, smile - 1), (2, 0)}
+    assert {(i, p) for i, w, p in got if w == "aaaa"} == {(3, p) for p in range(4)}
+
+
 def test_empty_blocklist_and_empty_words(spark):
     none = words(spark, ("", 0.5), (None, 0.5), ("́", 0.5))
     assert none.count() == 0
@@ -133,9 +144,10 @@ def test_bands_find_all_pairs(spark, distance):
 
 
 def test_similarity_top_and_safe_rows(spark):
-    rows = [(f"f{i}", i, "{}", "safe" if i == 0 else "unsafe", 0.5, "m", "", "auto", None, T0, T0) for i in range(9)]
+    far = 1 << 40
+    rows = [(f"f{i}", far ^ i, "{}", "safe" if i == 0 else "unsafe", 0.5, "m", "", "auto", None, T0, T0) for i in range(9)]
     table = spark.createDataFrame(rows, IMAGE_CACHE)
-    got = similar.find_similar(spark.createDataFrame([(1, 0)], "query_id long, phash long"), table, distance=10, top=5).orderBy("rank").collect()
+    got = similar.find_similar(spark.createDataFrame([(1, far), (2, 0), (3, None)], "query_id long, phash long"), table.unionByName(table.withColumns({"phash": F.lit(0).cast("long"), "file_hash": F.lit("zero")})), distance=10, top=5).orderBy("rank").collect()
     assert [r.file_hash for r in got] == ["f1", "f2", "f4", "f8", "f3"] and [r.distance for r in got] == [1, 1, 1, 1, 2]
 
 
@@ -203,7 +215,7 @@ def test_images_fold_to_the_first_reject(spark):
 
 def test_wire_names(spark):
     df = spark.createDataFrame([("AUTO_REJECT",), ("?",), (None,)], "a string")
-    assert [r[0] for r in df.select(verdict.wire_name(F.col("a"), "action")).collect()] == ["MODERATION_ACTION_AUTO_REJECT", "MODERATION_ACTION_UNSPECIFIED", "MODERATION_ACTION_UNSPECIFIED"]
+    assert [r[0] for r in df.select(verdict.wire_name(F.col("a"), "action")).collect()] == ["AUTO_REJECT", "UNSPECIFIED", "UNSPECIFIED"]
 
 
 # --- pages ------------------------------------------------------------------------------------

@@ -58,11 +58,50 @@ def _fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@cache
+def _longer_forms() -> dict[str, str]:
+    """Characters whose normal form has several characters."""
+    return {c: to for cp in range(0x80, sys.maxunicode + 1) if unicodedata.category(c := chr(cp)) not in ("Cs", "Cn", "Co") and len(to := _plain(c)) > 1}
+
+
+@cache
+def _compositions() -> dict[str, str]:
+    """Pairs of characters, neither a non-spacing mark, that compose to one, but for Hangul."""
+    out = {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        d = unicodedata.decomposition(chr(cp)).split()
+        if len(d) == 2 and not d[0].startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in d)
+            if "Mn" not in (unicodedata.category(pair[0]), unicodedata.category(pair[1])) and unicodedata.normalize("NFC", pair) == chr(cp):
+                out[pair] = chr(cp)
+    return out
+
+
+#: Conjoining letters of Hangul (first, vowel, last), and its syllables.
+_FIRST, _VOWEL, _LAST, _SYLLABLE = "\u1100-\u1112", "\u1161-\u1175", "\u11a8-\u11c2", "\uac00-\ud7a3"
+
+
+def _syllable(x: Column) -> Column:
+    """Conjoining letters composed to a syllable by their published arithmetic."""
+    code = lambda i: F.ascii(F.substring(x, i, 1))
+    last = lambda i: F.when(F.length(x) >= i, code(i) - 0x11A7).otherwise(0)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
+    whole = F.when((code(1) - 0xAC00) % 28 == 0, char(code(1) + last(2))).otherwise(x)
+    return F.when(code(1) < 0x1200, char(0xAC00 + ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28 + last(3))).otherwise(whole)
+
+
 def normalize(c: Column | str) -> Column:
     """The normal form for matching, as one JVM expression: a character table and a removal of
-    combining marks. Differs from ``normalize_exact`` only for 14 characters whose form is
-    longer than one character, and for conjoining Hangul. Null stays null."""
-    return F.regexp_replace(F.translate(_col(c), *_fold_table()), r"\p{Mn}+", "")
+    combining marks. Texts with characters whose form is longer than one character, or that
+    compose with their neighbours, take a slower branch. Null stays null."""
+    c = _col(c)
+    plain = F.regexp_replace(F.translate(c, *_fold_table()), r"\p{Mn}+", "")
+    longer, pairs = _longer_forms(), _compositions()
+    known = F.create_map(*[F.lit(x) for pair in (longer | pairs).items() for x in pair])
+    units = f"[{_FIRST}][{_VOWEL}][{_LAST}]?|[{_SYLLABLE}][{_LAST}]|{'|'.join(pairs)}|[\\s\\S]"
+    slow = F.transform(F.regexp_extract_all(plain, F.lit(units), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), F.when(F.length(x) > 1, _syllable(x)), x))
+    rare = "[" + "".join(sorted({*longer, *(p[1] for p in pairs)})) + f"{_VOWEL}{_LAST}]"
+    return F.when(F.rlike(c, F.lit(rare)), F.array_join(slow, "")).otherwise(plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -135,22 +174,69 @@ def category_description(c: Column | str) -> Column:
     return _col(c)
 
 
-#: Prompts of the guard models.
-_HARM_CODES = (
-    "Violent Crimes",
-    "Non-Violent Crimes",
-    "Sex-Related Crimes",
-    "Child Sexual Exploitation",
-    "Defamation",
-    "Privacy Violations",
-    "Intellectual Property",
-    "Weapons",
-    "Hate Speech",
-    "Suicide/Self-Harm",
-    "Sexual Content",
-)
-_LLAMA = "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\nTask: Check if there is unsafe content in {what}.\n\n<BEGIN CONVERSATION>\n{talk}\n<END CONVERSATION>\n\nProvide your safety assessment for ONLY the last {who}.\n<|eot_id|><|start_header_id|>assistant<|end_header_id|>"
-_GENERIC = 'You are a content safety classifier. Analyze the following {what}.\n\nCategories to check:\n{codes}\n\n{talk}\n\nRespond with ONLY one of:\n- "safe" if the content is safe\n- "unsafe\\nS1,S2,..." listing violated category codes if unsafe'
+#: The four prompts of the guard models; {user} and {assistant} are filled in.
+LLAMA_USER = """<|begin_of_text|><|start_header_id|>user<|end_header_id|>
+
+Task: Check if there is unsafe content in 'User' message.
+
+<BEGIN CONVERSATION>
+User: {user}
+<END CONVERSATION>
+
+Provide your safety assessment for ONLY the last User message.
+<|eot_id|><|start_header_id|>assistant<|end_header_id|>"""
+LLAMA_PAIR = """<|begin_of_text|><|start_header_id|>user<|end_header_id|>
+
+Task: Check if there is unsafe content in the conversation.
+
+<BEGIN CONVERSATION>
+User: {user}
+Assistant: {assistant}
+<END CONVERSATION>
+
+Provide your safety assessment for ONLY the last message.
+<|eot_id|><|start_header_id|>assistant<|end_header_id|>"""
+GENERIC_USER = """You are a content safety classifier. Analyze the following user message and determine if it contains unsafe content.
+
+Categories to check:
+- S1: Violent Crimes
+- S2: Non-Violent Crimes\x20\x20
+- S3: Sex-Related Crimes
+- S4: Child Sexual Exploitation
+- S5: Defamation
+- S6: Privacy Violations
+- S7: Intellectual Property
+- S8: Weapons
+- S9: Hate Speech
+- S10: Suicide/Self-Harm
+- S11: Sexual Content
+
+User message: "{user}"
+
+Respond with ONLY one of:
+- "safe" if the content is safe
+- "unsafe\\nS1,S2,..." listing violated category codes if unsafe"""
+GENERIC_PAIR = """You are a content safety classifier. Analyze the following conversation.
+
+Categories to check:
+- S1: Violent Crimes
+- S2: Non-Violent Crimes
+- S3: Sex-Related Crimes
+- S4: Child Sexual Exploitation
+- S5: Defamation
+- S6: Privacy Violations
+- S7: Intellectual Property
+- S8: Weapons
+- S9: Hate Speech
+- S10: Suicide/Self-Harm
+- S11: Sexual Content
+
+User: "{user}"
+Assistant: "{assistant}"
+
+Respond with ONLY one of:
+- "safe" if the content is safe
+- "unsafe\\nS1,S2,..." listing violated category codes if unsafe"""
 
 
 def guard_prompt(user: Column | str, assistant: Column | str, model: Column | str) -> Column:
@@ -163,14 +249,8 @@ def guard_prompt(user: Column | str, assistant: Column | str, model: Column | st
     single = assistant == ""
 
     def fill(template: str) -> Column:
-        parts = template.replace("{user}", "\0u\0").replace("{assistant}", "\0a\0").split("\0")
-        return F.concat(*[user if p == "u" else assistant if p == "a" else F.lit(p) for p in parts if p])
-
-    def codes(gap: str) -> str:
-        return "\n".join(f"- S{i}: {n}" + (gap if i == 2 else "") for i, n in enumerate(_HARM_CODES, 1))
+        before, after = template.split("{user}")
+        middle, *end = after.split("{assistant}")
+        return F.concat(F.lit(before), user, F.lit(middle), *([assistant, F.lit(end[0])] if end else []))
 
-    llama_one = _LLAMA.format(what="'User' message", talk="User: {user}", who="User message")
-    llama_two = _LLAMA.format(what="the conversation", talk="User: {user}\nAssistant: {assistant}", who="message")
-    one = _GENERIC.format(what="user message and determine if it contains unsafe content", codes=codes("  "), talk='User message: "{user}"')
-    two = _GENERIC.format(what="conversation", codes=codes(""), talk='User: "{user}"\nAssistant: "{assistant}"')
-    return F.when(llama & single, fill(llama_one)).when(llama, fill(llama_two)).when(single, fill(one)).otherwise(fill(two))
+    return F.when(llama & single, fill(LLAMA_USER)).when(llama, fill(LLAMA_PAIR)).when(single, fill(GENERIC_USER)).otherwise(fill(GENERIC_PAIR))

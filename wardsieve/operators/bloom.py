@@ -30,6 +30,11 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
+def drop(filter_: DataFrame) -> DataFrame:
+    """The filter after it was deleted or has expired: no bit is set."""
+    return filter_.where(F.lit(False))
+
+
 def probe(rows: DataFrame, key: str, filter_: DataFrame, *, bits: int, hashes: int) -> DataFrame:
     """(key, maybe): whether all bits of a distinct key are set. An empty filter says no."""
     asked = rows.select(key).where(F.col(key).isNotNull()).distinct().select(key, F.explode(F.array_distinct(positions(key, bits, hashes))).alias("position"))

@@ -24,41 +24,48 @@ def _none() -> Column:
 # --- texts ----------------------------------------------------------------------------------
 
 
+def text_id(norm: Column | str) -> Column:
+    """128 bits that stand for a normal form in joins, so that texts are not exchanged as keys."""
+    return F.md5(norm)
+
+
 def decide_texts(distinct: DataFrame, cache: DataFrame, words: DataFrame, scores: DataFrame | None = None, settings: TextSettings = TextSettings()) -> DataFrame:
-    """Results of distinct texts (norm, text).
+    """Results by ``tid`` of distinct texts (tid, norm, text); tid is ``text_id`` of norm.
 
     ``cache`` holds rows by 16-digit key whose ``normalized_content`` is the normal form, so the
-    lookup joins on it. ``words``: word, category, nsfw_score. ``scores``: norm, is_nsfw,
-    safety_label, categories; a text without a row is one the model could not score.
+    lookup joins on it; of several rows the one of the smallest key counts. ``words``: word,
+    category, nsfw_score. ``scores``: norm, is_nsfw, safety_label, categories; a text without a
+    row is one the model could not score.
     """
-    known = cache.where("length(content_hash) = 16").select(F.col("normalized_content").alias("norm"), F.col("category").alias("cached"), F.coalesce("nsfw_score", F.lit(0.0)).alias("cached_score"))
-    known = known.groupBy("norm").agg(F.first("cached").alias("cached"), F.first("cached_score").alias("cached_score"), F.lit(True).alias("cache_hit"))
+    known = cache.where("length(content_hash) = 16").groupBy(text_id("normalized_content").alias("tid")).agg(F.min_by(F.struct(F.col("category").alias("cached"), F.coalesce("nsfw_score", F.lit(0.0)).alias("cached_score")), "content_hash").alias("c"))
+    known = known.select("tid", "c.*", F.lit(True).alias("cache_hit"))
     # read by five branches below, the blocklist by three jobs: each is computed once
-    looked = persist_table(distinct.join(known, "norm", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))), "looked")
+    looked = persist_table(distinct.join(known, "tid", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))), "looked")
     flags = verdict.flags_of(F.col("cached"))
     flags = {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
-    hits = looked.where("cache_hit").select("norm", "cache_hit", *[v.alias(k) for k, v in flags.items()], F.col("cached_score").alias("max_nsfw_score"), _none().alias("categories"), F.lit(False).alias("nsfw_checked"), F.lit(False).alias("detected_by_nsfw"))
+    hits = looked.where("cache_hit").select("tid", "cache_hit", *[v.alias(k) for k, v in flags.items()], F.col("cached_score").alias("max_nsfw_score"), _none().alias("categories"), F.lit(False).alias("nsfw_checked"), F.lit(False).alias("detected_by_nsfw"))
 
     listed = persist_table(B.prepared(words), "blocklist")
-    misses = looked.where("NOT cache_hit").select("norm", "text")
+    misses = looked.where("NOT cache_hit").select("tid", "norm", "text")
     open_ = misses
     if settings.gate:
-        open_ = misses.join(B.gate(misses.select("norm", "text"), B.gate_keys(listed), "norm"), "norm", "left_semi")
-    found = B.summary(B.search(open_.select(F.col("norm").alias("id"), "norm"), listed, "id"), "id").withColumnRenamed("id", "norm")
-    matched = misses.select("norm").join(found, "norm", "left")
+        open_ = misses.join(B.gate(misses.select("tid", "text"), B.gate_keys(listed), "tid"), "tid", "left_semi")
+    found = B.summary(B.search(open_.select("tid", "norm"), listed, "tid"), "tid")
+    matched = misses.select("tid").join(found, "tid", "left")
     score = F.coalesce("max_nsfw_score", F.lit(0.0))
     need_model = score < settings.reject_threshold
     if scores is None:
         scored = matched.withColumns({"is_nsfw": F.lit(None).cast("boolean"), "safety_label": F.lit(None).cast("string"), "more": _none()})
     else:
         # only texts that patterns do not reject already ask the model
-        asked = matched.where(need_model).select("norm").join(scores, "norm")
-        scored = matched.join(asked.select("norm", "is_nsfw", "safety_label", F.col("categories").alias("more")), "norm", "left")
+        answers = scores.select(text_id("norm").alias("tid"), "is_nsfw", "safety_label", F.col("categories").alias("more"))
+        asked = matched.where(need_model).select("tid").join(answers, "tid")
+        scored = matched.join(asked, "tid", "left")
     label, nsfw = F.lower("safety_label"), F.coalesce("is_nsfw", F.lit(False))
     reject, review = B.threshold(score, settings.reject_threshold, settings.review_threshold)
     by_model = lambda name: nsfw & F.coalesce(label == name, F.lit(False))
     fresh = scored.select(
-        "norm",
+        "tid",
         F.lit(False).alias("cache_hit"),
         (F.col("n_matches").isNull() & ~nsfw).alias("is_clean"),
         (reject | by_model("unsafe")).alias("should_reject"),
@@ -77,10 +84,11 @@ def moderate_text(requests: DataFrame, cache: DataFrame, words: DataFrame, score
     Null and empty texts are clean. Requests of one normal form are decided once, by the text of
     the first by ``order`` (default request_id), as all later ones would hit its cache entry.
     """
-    rows = requests.withColumn("norm", F.when(F.col("text") != "", normalize("text")))
-    distinct = rows.where("norm IS NOT NULL").groupBy("norm").agg(F.min_by("text", F.struct(*(order or ["request_id"]), "text")).alias("text"))
+    rows = requests.withColumn("norm", F.when(F.col("text") != "", normalize("text"))).withColumn("tid", text_id("norm"))
+    first = F.min_by(F.struct("norm", "text"), F.struct(*(order or ["request_id"]), "text"))
+    distinct = rows.where("norm IS NOT NULL").groupBy("tid").agg(first.alias("f")).select("tid", "f.norm", "f.text")
     results = decide_texts(distinct, cache, words, scores, settings)
-    out = rows.select("request_id", "norm").join(results, "norm", "left")
+    out = rows.select("request_id", "norm", "tid").join(results, "tid", "left")
     empty = {"cache_hit": F.lit(False), "is_clean": F.lit(True), "should_reject": F.lit(False), "should_review": F.lit(False), "max_nsfw_score": F.lit(0.0), "categories": _none(), "nsfw_checked": F.lit(False), "detected_by_nsfw": F.lit(False)}
     return with_verdict(out.select("request_id", "norm", *[F.coalesce(F.col(k), v).alias(k) for k, v in empty.items()]))
 
@@ -119,7 +127,8 @@ def moderate_images(requests: DataFrame, cache: DataFrame, settings: ImageSettin
     ``error`` and null flags. With the gate, only an exact hash of a known bad image opens the
     similarity search.
     """
-    files = cache.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.first("category").alias("cached"), F.first(F.coalesce("nsfw_score", F.lit(0.0))).alias("cached_score"), F.first("phash").alias("cached_phash"), F.lit(True).alias("in_cache"))
+    row = F.struct(F.col("category").alias("cached"), F.coalesce("nsfw_score", F.lit(0.0)).alias("cached_score"))
+    files = cache.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.min(row).alias("c")).select("file_hash", "c.*", F.lit(True).alias("in_cache"))
     rows = requests.withColumn("file_hash", F.nullif("file_hash", F.lit(""))).join(files, "file_hash", "left").withColumn("in_cache", F.coalesce("in_cache", F.lit(False)))
 
     open_ = rows.where("NOT in_cache AND phash <> 0").select("phash").distinct()

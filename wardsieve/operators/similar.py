@@ -51,9 +51,16 @@ def near(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
 
 def find_similar(queries: DataFrame, table: DataFrame, *, distance: int = 10, top: int = 5) -> DataFrame:
     """For each query (query_id, phash) the ``top`` nearest rows of ``table`` that are not safe:
-    query_id, file_hash, distance, rank. Ties by file_hash."""
-    bad = table.where((F.col("category") != "safe") & F.col("phash").isNotNull())
+    query_id, file_hash, distance, rank. Ties by file_hash.
+
+    Null and 0 hashes stand for images that could not be decoded: they match nothing. Of a hash
+    that many rows have, only the ``top`` smallest keys meet the queries.
+    """
+    queries = queries.where("phash <> 0")
+    bad = table.where((F.col("category") != "safe") & (F.col("phash") != 0)).select("phash", "file_hash")
     pairs = near(queries, bad, distance)
+    first = Window.partitionBy("phash").orderBy("file_hash")
+    bad = bad.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= top)
     order = Window.partitionBy("a").orderBy("distance", "file_hash")
     best = pairs.join(bad.select(F.col("phash").alias("b"), "file_hash"), "b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return queries.select("query_id", F.col("phash").alias("a")).join(best, "a").select("query_id", "file_hash", "distance", "rank")

@@ -42,6 +42,11 @@ def get(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return keys.select(key).distinct().join(table, key, "left")
 
 
+def get_by_id(table: DataFrame, id_: int) -> DataFrame:
+    """The row of an id; the filter reaches the scan."""
+    return table.where(F.col("id") == id_)
+
+
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 

@@ -36,9 +36,10 @@ def flags_of(category_: Column) -> dict[str, Column]:
 
 
 def wire_name(c: Column, kind: str) -> Column:
-    """Names of actions and verdicts in responses; unknown ones are unspecified."""
+    """Names of actions and verdicts in responses; unknown ones are unspecified.
+    Actions have no prefix."""
     known = {"action": ("AUTO_APPROVE", "AUTO_REJECT", "PENDING_REVIEW"), "verdict": ("CLEAN", "REJECT", "REVIEW")}[kind]
-    prefix = {"action": "MODERATION_ACTION_", "verdict": "VERDICT_"}[kind]
+    prefix = {"action": "", "verdict": "VERDICT_"}[kind]
     return F.when(c.isin(*known), F.concat(F.lit(prefix), c)).otherwise(F.lit(f"{prefix}UNSPECIFIED"))
 
 

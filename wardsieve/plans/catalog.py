@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wardsieve.plans import image_queries, table_queries, text_queries
+from wardsieve.plans import image_queries, service_queries, table_queries, text_queries
 
-_PARTS = (text_queries, table_queries, image_queries)
+_PARTS = (text_queries, table_queries, image_queries, service_queries)
 
 
 def queries() -> dict:

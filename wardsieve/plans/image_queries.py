@@ -50,7 +50,7 @@ def similarity_scores(spark, d: str) -> DataFrame:
 @query(
     """SELECT row_id AS query_id, file_hash, distance, rank FROM (
 SELECT b.row_id, c.file_hash, bit_count(xor(b.phash, c.phash)) AS distance, row_number() OVER (PARTITION BY b.row_id ORDER BY bit_count(xor(b.phash, c.phash)), c.file_hash) AS rank
-FROM image_batch b JOIN image_cache c ON bit_count(xor(b.phash, c.phash)) <= 10 WHERE c.category <> 'safe') WHERE rank <= 5"""
+FROM image_batch b JOIN image_cache c ON bit_count(xor(b.phash, c.phash)) <= 10 WHERE c.category <> 'safe' AND b.phash <> 0 AND c.phash <> 0) WHERE rank <= 5"""
 )
 def find_similar(spark, d: str) -> DataFrame:
     queries = load(spark, d, "image_batch").select(F.col("row_id").alias("query_id"), "phash")
@@ -136,7 +136,7 @@ def image_requests(spark, d: str) -> DataFrame:
 
 def images_sql(gate: bool) -> str:
     return f"""
-bad AS (SELECT file_hash, phash, category, coalesce(nsfw_score, 0.0) AS score FROM image_cache WHERE category <> 'safe' AND phash IS NOT NULL),
+bad AS (SELECT file_hash, phash, category, coalesce(nsfw_score, 0.0) AS score FROM image_cache WHERE category <> 'safe' AND phash <> 0),
 ireq AS (SELECT concat('img-', row_id) AS request_id, row_id, nullif(file_hash, '') AS file_hash, phash, nsfw_score, source_url FROM image_batch),
 ic AS (SELECT r.*, c.file_hash IS NOT NULL AS cached, c.category AS ccat, coalesce(c.nsfw_score, 0.0) AS cscore FROM ireq r LEFT JOIN image_cache c ON c.file_hash = r.file_hash),
 op AS (SELECT DISTINCT phash FROM ic WHERE NOT cached AND phash <> 0 {"AND phash IN (SELECT phash FROM image_cache WHERE file_hash LIKE 'phash:%' AND category <> 'safe')" if gate else ""}),
@@ -198,16 +198,16 @@ def _mixed(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, texts, urls.join(results, "row_id")
 
 
-_MIX = (
-    cascade_sql("SELECT row_id AS n, concat('mix-', row_id) AS request_id, normalized_content AS text FROM text_batch", "n")
-    + ","
-    + images_sql(True)
-    + """,
+def mix_sql(order: str) -> str:
+    """CTEs of the mixed cascade, ending in ``mixed``; ``order`` chooses among texts of one form."""
+    return f"""{cascade_sql("SELECT row_id AS n, concat('mix-', row_id) AS request_id, normalized_content AS text FROM text_batch", order)},{images_sql(True)},
 mi AS (SELECT b.n, p AS pos, i.rej, i.shown FROM req b, range(0, 2) r(p) JOIN ires i ON i.row_id = b.n + p WHERE NOT i.broken),
 fi AS (SELECT n, bool_or(rej) AS irej, CASE WHEN bool_or(rej) THEN arg_min(struct_pack(v := shown), pos) FILTER (WHERE rej) ELSE arg_max(struct_pack(v := shown), pos) END.v AS shown FROM mi GROUP BY n),
 mixed AS (SELECT v.request_id, v.is_clean AND NOT coalesce(fi.irej, false) AS is_clean, v.should_reject OR coalesce(fi.irej, false) AS should_reject, v.should_review, CASE WHEN v.is_clean THEN '' ELSE v.categories END AS categories, CASE WHEN v.max_nsfw_score > 0 THEN v.max_nsfw_score END AS text_nsfw, fi.shown AS nsfw
 FROM verdicts v JOIN req ON req.request_id = v.request_id LEFT JOIN fi ON fi.n = req.n)"""
-)
+
+
+_MIX = mix_sql("n")
 
 
 @query(f"{_MIX} SELECT request_id, is_clean, categories, {VERDICT_SQL}, text_nsfw, nsfw FROM mixed")
@@ -217,7 +217,7 @@ def moderate_mixed(spark, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT request_id, CASE action WHEN 'AUTO_REJECT' THEN 'MODERATION_ACTION_AUTO_REJECT' WHEN 'PENDING_REVIEW' THEN 'MODERATION_ACTION_PENDING_REVIEW' ELSE 'MODERATION_ACTION_AUTO_APPROVE' END AS action, concat('VERDICT_', verdict) AS verdict, reason, categories
+    """SELECT request_id, action, concat('VERDICT_', verdict) AS verdict, reason, categories
 FROM ("""
     + f"{_MIX} SELECT request_id, categories, {VERDICT_SQL} FROM mixed)"
 )

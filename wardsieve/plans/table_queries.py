@@ -59,8 +59,9 @@ for _t, _k in KEYS.items():
     def _bind(t: str = _t, k: str = _k, c: str = _c, more: str = _more) -> None:
         t_ = lambda spark, d: load(spark, d, t)
         c_ = lambda spark, d: load(spark, d, c)
+        gone = t.replace("dataset", "batch").replace("cache", "batch")
         add(f"{t}_get", lambda s, d: tables.get(t_(s, d), c_(s, d).where(f"{k} IS NOT NULL"), k).select(k, more, "category", "nsfw_score"), f"SELECT c.{k}, t.{more}, t.category, t.nsfw_score FROM (SELECT DISTINCT {k} FROM {c} WHERE {k} IS NOT NULL) c LEFT JOIN {t} t ON t.{k} = c.{k}")
-        add(f"{t}_delete", lambda s, d: tables.delete(t_(s, d), c_(s, d), k).select(k, "category"), f"SELECT {k}, category FROM {t} WHERE {k} NOT IN (SELECT {k} FROM {c} WHERE {k} IS NOT NULL)")
+        add(f"{t}_delete", lambda s, d: tables.delete(t_(s, d), load(s, d, gone), k).select(k, "category"), f"SELECT {k}, category FROM {t} WHERE {k} NOT IN (SELECT {k} FROM {gone} WHERE {k} IS NOT NULL)")
         add(f"{t}_count", lambda s, d: tables.count(t_(s, d)), f"SELECT count(*) AS n FROM {t}")
         add(f"{t}_count_by_category", lambda s, d: tables.count(t_(s, d), "unsafe"), f"SELECT count(*) AS n FROM {t} WHERE category = 'unsafe'")
         add(f"{t}_list", lambda s, d: tables.listing(t_(s, d), k, limit=20, offset=10).select(k, "category", "created_at"), f"SELECT {k}, category, created_at FROM {t} ORDER BY created_at DESC, {k} LIMIT 20 OFFSET 10")
@@ -70,7 +71,7 @@ for _t, _k in KEYS.items():
             add(f"{t}_delete_expired", lambda s, d: tables.delete_expired(t_(s, d), F.lit("2026-05-16 00:00:00").cast("timestamp")).select(k, "expires_at"), f"SELECT {k}, expires_at FROM {t} WHERE expires_at IS NULL OR expires_at >= {_NOW}")
             add(f"{t}_expired", lambda s, d: t_(s, d).where(tables.is_expired(F.lit("2026-05-16 00:00:00").cast("timestamp"))).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {t} WHERE expires_at < {_NOW}")
         else:
-            add(f"{t}_get_by_id", lambda s, d: t_(s, d).where("id = 7").select("id", k, "category"), f"SELECT id, {k}, category FROM {t} WHERE id = 7")
+            add(f"{t}_get_by_id", lambda s, d: tables.get_by_id(t_(s, d), 7).select("id", k, "category"), f"SELECT id, {k}, category FROM {t} WHERE id = 7")
 
     _bind()
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardsieve.config import TextSettings
+from wardsieve.config import ImageSettings, TextSettings
 from wardsieve.functions import text as X
 from wardsieve.operators import admin, bloom, moderate
 from wardsieve.operators import blocklist as B
-from wardsieve.runtime import load
+from wardsieve.runtime import load, persist_table
+from wardsieve.sources import chat
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,14 +124,6 @@ def parse_guard_codes(spark, d: str) -> DataFrame:
     return rows.select("id", X.parse_guard_codes("answer").alias("s")).select("id", "s.is_safe", joined("s.categories").alias("categories"))
 
 
-@query("SELECT row_id, concat('User: \"', normalized_content, '\"') AS talk, starts_with('You are a content safety classifier.', 'You') AS generic FROM text_batch WHERE normalized_content IS NOT NULL")
-def guard_prompts(spark, d: str) -> DataFrame:
-    """The line of the conversation in each prompt, and whether it is the generic prompt."""
-    rows = load(spark, d, "text_batch").where("normalized_content IS NOT NULL")
-    prompt = X.guard_prompt("normalized_content", F.lit("noted"), F.lit("any-guard"))
-    return rows.select("row_id", F.regexp_extract(prompt, r'(?s)(User: ".*")\nAssistant: "noted"', 1).alias("talk"), prompt.startswith("You are a content safety classifier.").alias("generic"))
-
-
 @query(
     """
 WITH t AS (SELECT owner_id, request_id, received_at, text, lead(text) OVER (PARTITION BY owner_id ORDER BY received_at, request_id, text) AS reply FROM text_request WHERE owner_id IS NOT NULL)
@@ -138,11 +131,9 @@ SELECT owner_id, request_id, received_at, text AS user_text, reply FROM t"""
 )
 def message_pairs(spark, d: str) -> DataFrame:
     """Each owner's messages with the next one: pairs for a two-sided guard."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("owner_id").orderBy("received_at", "request_id", "text")
-    rows = load(spark, d, "text_request").where("owner_id IS NOT NULL")
-    return rows.select("owner_id", "request_id", "received_at", F.col("text").alias("user_text"), F.lead("text").over(w).alias("reply"))
+    rows = load(spark, d, "text_request").where("owner_id IS NOT NULL").select("owner_id", "request_id", "received_at", "text")
+    out = chat.following(rows, "owner_id", ["received_at", "request_id", "text"], F.date_trunc("hour", "received_at"), ["text"])
+    return out.select("owner_id", "request_id", "received_at", F.col("text").alias("user_text"), F.col("next.text").alias("reply"))
 
 
 # --- blocklist ------------------------------------------------------------------------------
@@ -170,7 +161,8 @@ def cache_with_words(spark, d: str) -> DataFrame:
 
 
 def words_of(spark, d: str) -> DataFrame:
-    return B.prepared(admin.rebuild_filters(cache_with_words(spark, d)))
+    # read several times by each search
+    return persist_table(B.prepared(admin.rebuild_filters(cache_with_words(spark, d))), "blocklist")
 
 
 @query(f"WITH {CACHE2} SELECT content_hash, normalized_content, category, nsfw_score, model_version, added_by, expires_at, created_at, updated_at FROM cache2")
@@ -225,28 +217,49 @@ def match_summary(spark, d: str) -> DataFrame:
     return B.summary(B.search(_texts(spark, d), words_of(spark, d), "row_id"), "row_id").withColumn("categories", joined("categories"))
 
 
-@query(f"WITH {_TEXTS} SELECT DISTINCT row_id FROM texts WHERE contains(norm, 'idiot') OR contains(norm, 'moron') OR contains(norm, 'wipe out')")
+@query(_MATCHES + " SELECT DISTINCT row_id FROM hits")
 def has_match(spark, d: str) -> DataFrame:
-    few = spark.createDataFrame([("idiot", "insult", 0.9), ("Moron", "insult", 0.8), ("wipe out", "threat", 1.0)], "word string, category string, nsfw_score double")
-    return B.contains_any(_texts(spark, d), B.prepared(few), "row_id")
+    return B.contains_any(_texts(spark, d), words_of(spark, d), "row_id")
 
 
 _BITS = "(('0x' || substring(sha256(concat({c}, CAST(i AS VARCHAR))), 1, 15))::UBIGINT % {m}::UBIGINT)::BIGINT"
+_TEXT, _IMAGE = TextSettings(), ImageSettings()
+
+
+def _positions(c: str, s: TextSettings | ImageSettings) -> str:
+    return f"SELECT DISTINCT {c}, {_BITS.format(c=c, m=s.bloom_bits)} AS position FROM {{t}}, range(0, {s.bloom_hashes}) r(i) WHERE {c} IS NOT NULL"
+
+
+def _built(c: str, t: str, s: TextSettings | ImageSettings) -> str:
+    return f"SELECT DISTINCT position FROM ({_positions(c, s).format(t=t)})"
+
 
+def _probed(c: str, held: str, asked: str, s: TextSettings | ImageSettings) -> str:
+    return f"WITH f AS ({_built(c, held, s)}), p AS ({_positions(c, s).format(t=asked)}) SELECT {c}, count(f.position) = count(*) AS maybe FROM p LEFT JOIN f USING (position) GROUP BY {c}"
 
-@query(f"SELECT DISTINCT {_BITS.format(c='content_hash', m=1 << 20)} AS position FROM text_cache, range(0, 5) r(i) WHERE content_hash IS NOT NULL")
+
+@query(_built("content_hash", "text_cache", _TEXT))
 def bloom_build(spark, d: str) -> DataFrame:
-    return bloom.build(load(spark, d, "text_cache"), "content_hash", bits=1 << 20, hashes=5)
+    return bloom.build(load(spark, d, "text_cache"), "content_hash", bits=_TEXT.bloom_bits, hashes=_TEXT.bloom_hashes)
 
 
-@query(
-    f"""WITH f AS (SELECT DISTINCT {_BITS.format(c='content_hash', m=1 << 14)} AS position FROM text_cache, range(0, 3) r(i) WHERE content_hash IS NOT NULL),
-a AS (SELECT DISTINCT content_hash FROM text_batch WHERE content_hash IS NOT NULL), p AS (SELECT DISTINCT content_hash, {_BITS.format(c='content_hash', m=1 << 14)} AS position FROM a, range(0, 3) r(i))
-SELECT content_hash, count(f.position) = count(*) AS maybe FROM p LEFT JOIN f USING (position) GROUP BY content_hash"""
-)
+@query(_probed("content_hash", "text_cache", "text_batch", _TEXT))
 def bloom_probe(spark, d: str) -> DataFrame:
-    made = bloom.build(load(spark, d, "text_cache"), "content_hash", bits=1 << 14, hashes=3)
-    return bloom.probe(load(spark, d, "text_batch"), "content_hash", made, bits=1 << 14, hashes=3)
+    made = bloom.build(load(spark, d, "text_cache"), "content_hash", bits=_TEXT.bloom_bits, hashes=_TEXT.bloom_hashes)
+    return bloom.probe(load(spark, d, "text_batch"), "content_hash", made, bits=_TEXT.bloom_bits, hashes=_TEXT.bloom_hashes)
+
+
+@query(_probed("file_hash", "image_cache", "image_batch", _IMAGE))
+def bloom_probe_images(spark, d: str) -> DataFrame:
+    made = bloom.build(load(spark, d, "image_cache"), "file_hash", bits=_IMAGE.bloom_bits, hashes=_IMAGE.bloom_hashes)
+    return bloom.probe(load(spark, d, "image_batch"), "file_hash", made, bits=_IMAGE.bloom_bits, hashes=_IMAGE.bloom_hashes)
+
+
+@query("SELECT DISTINCT content_hash, false AS maybe FROM text_batch WHERE content_hash IS NOT NULL")
+def bloom_dropped(spark, d: str) -> DataFrame:
+    """After its filter is dropped, nothing may be in it."""
+    made = bloom.build(load(spark, d, "text_cache"), "content_hash", bits=_TEXT.bloom_bits, hashes=_TEXT.bloom_hashes)
+    return bloom.probe(load(spark, d, "text_batch"), "content_hash", bloom.drop(made), bits=_TEXT.bloom_bits, hashes=_TEXT.bloom_hashes)
 
 
 # --- the cascade ----------------------------------------------------------------------------
@@ -324,7 +337,7 @@ def model_feedback(spark, d: str) -> DataFrame:
     return moderate.feedback(text_results(spark, d)).select("norm")
 
 
-@query()
+@query(f"{_CASCADE} SELECT {_SHOWN}, {VERDICT_SQL} FROM verdicts")
 def stream_moderate(spark, d: str) -> DataFrame:
     """The cascade as a stream over the request table, run to its end; results of all batches."""
     from wardsieve.runtime import shared_path

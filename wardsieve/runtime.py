@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of shared files that workers read as long as the application runs.
+KEPT = ("code-", "lexicon-")
 _FALLBACK: dict[str, str] = {}
 _ROOTS: set[str] = set()
 _SHIPPED: set[str] = set()
@@ -19,11 +21,14 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``. Only where the session names none (unit tests in
-    local mode) a temporary folder is made, once per application.
+    Read from ``spark.checkpoint.dir``. Only in local mode, where the session names none (unit
+    tests), a temporary folder is made, once per application; on a cluster that is an error,
+    since no other machine would see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _FALLBACK.setdefault(app, "") or tempfile.mkdtemp(prefix="wardsieve-")
         _FALLBACK[app] = path
@@ -44,6 +49,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of the application, for sessions that run many queries.
+
+    Results that were not written elsewhere are lost. What is shipped to workers stays.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wardsieve/{spark.sparkContext.applicationId}")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(root) if fs.exists(root) else []:
+        if not s.getPath().getName().startswith(KEPT):
+            fs.delete(s.getPath(), True)
+
+
 def write_file(spark: SparkSession, uri: str, content: bytes) -> None:
     """One file, on whatever file system the path names."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
@@ -97,8 +114,11 @@ def folded(col: str | F.Column) -> F.Column:
 def spread(df: DataFrame, floor: int | None = None) -> DataFrame:
     """Give a scan at least as many partitions as there are task slots.
 
-    A no-op when the scan is already split finely; a round-robin exchange otherwise, used
-    before expensive Python stages whose input is a few large row groups.
+    A no-op when the scanned files are large enough to be split finely; a round-robin exchange
+    otherwise, used before expensive Python stages whose input is a few large row groups.
     """
-    slots = floor or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    spark = df.sparkSession
+    slots = floor or spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if size >= 2 * slots * split else df.repartition(slots)

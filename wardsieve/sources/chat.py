@@ -30,12 +30,29 @@ def code_payload(user: Column | str, assistant: Column | str, model: str) -> Col
     return F.to_json(F.struct(F.lit(model).alias("model"), prompt.alias("messages"), F.lit(False).alias("stream"), options.alias("options")))
 
 
-def conversation_pairs(turns: DataFrame) -> DataFrame:
+def following(rows: DataFrame, group: str, order: list[str], span: Column, columns: list[str]) -> DataFrame:
+    """``rows`` with ``next``: the named columns of the following row of its group, null for the
+    last.
+
+    ``span`` cuts the order into stretches, such as hours of a time. Rows are sorted within a
+    stretch of a group, and only stretches' first rows within a group, so a group that holds a
+    third of all rows is never in one task.
+    """
+    nxt = F.struct(*columns)
+    cut = rows.withColumn("__span", span)
+    w = Window.partitionBy(group, "__span").orderBy(*order)
+    inside = cut.withColumns({"next": F.lead(nxt).over(w), "__last": F.lead(F.lit(True)).over(w).isNull()})
+    firsts = cut.groupBy(group, "__span").agg(F.min(F.struct(*order, nxt.alias("__row"))).alias("f"))
+    after = firsts.select(group, "__span", F.lead("f.__row").over(Window.partitionBy(group).orderBy("__span")).alias("__after"))
+    joined = inside.join(after, (inside[group] == after[group]) & inside["__span"].eqNullSafe(after["__span"]), "left").drop(after[group]).drop(after["__span"])
+    return joined.withColumn("next", F.when(F.col("__last"), F.col("__after")).otherwise(F.col("next"))).drop("__span", "__last", "__after")
+
+
+def conversation_pairs(turns: DataFrame, span: int = 1_000) -> DataFrame:
     """(conv_id, turn, user, assistant): each user turn with the assistant's next one, if it is
-    the very next; from turns (conv_id, turn, role, text)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    seen = turns.withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)})
-    return seen.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("assistant"))
+    the very next; from turns (conv_id, turn, role, text). ``span`` turns are sorted in one task."""
+    seen = following(turns.select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], F.floor(F.col("turn") / span), ["role", "text"])
+    return seen.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user"), F.when(F.col("next.role") == "assistant", F.col("next.text")).alias("assistant"))
 
 
 def moderate(rows: DataFrame, key: str, user: str, assistant: str, model: str, send: Callable[[Sequence[str]], Sequence[str]], *, style: str = "labels") -> DataFrame:

@@ -27,20 +27,31 @@ class TextStream:
         self.spark, self.path = spark, path.rstrip("/")
         self.cache, self.words, self.scores, self.settings = cache, words, scores, settings
 
-    def deltas(self, before: int | None = None) -> DataFrame:
-        """Cache rows written by batches, or by those before ``before``."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/cache")
+    def _written(self, kind: str, before: int | None) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().toString() for s in fs.listStatus(root)] if fs.exists(root) else []
-        paths = [n for n in names if (m := _BATCH.search(n)) and (before is None or int(m[1]) < before)]
+        return [n for n in names if (m := _BATCH.search(n)) and (before is None or int(m[1]) < before)]
+
+    def deltas(self, before: int | None = None) -> DataFrame:
+        """Cache rows written by batches, or by those before ``before``."""
+        paths = self._written("cache", before)
         return self.spark.read.schema(TEXT_CACHE).parquet(*paths) if paths else self.spark.createDataFrame([], TEXT_CACHE)
 
+    def answered(self, before: int) -> DataFrame:
+        """Ids that earlier batches answered: a request delivered again is left out."""
+        paths, schema = self._written("results", before), "request_id string"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def results(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/results/*")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         cache = self.cache.select(*TEXT_CACHE.names).unionByName(self.deltas(batch_id))
-        out = moderate_text(batch.dropDuplicates(["request_id"]), cache, self.words, self.scores, self.settings)
+        order = [c for c in ("received_at", "owner_id") if c in batch.columns]
+        first = batch.groupBy("request_id").agg(F.min(F.struct(*order, "text")).alias("r")).select("request_id", "r.*")
+        fresh = first.join(self.answered(batch_id), "request_id", "left_anti")
+        out = moderate_text(fresh, cache, self.words, self.scores, self.settings, order=[*order[:1], "request_id"])
         folder = f"{self.path}/results/batch={batch_id}"
         out.write.mode("overwrite").parquet(folder)
         written = self.spark.read.parquet(folder)  # the delta follows what was written, not a second run
