@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardsieve.llm import sentences as S
+from wardsieve.llm.fitted import once
 from wardsieve.runtime import folded, load, persist_table, spread
 
 #: Labelled documents that the model is fitted on at most (smallest seeded hashes).
 LABELLED = 12_000
 #: Terms that are broadcast at most; of longer lists each text gets the terms it may hold.
 BROADCAST_TERMS = 50_000
-MAX_FEATURES = 120_000
+#: Labelled documents that a feature must occur in.
+LEAST = 3
 LISTED = ("insult", "hate", "sexual", "threat")
 #: Share of labels taken to be wrong.
 WRONG = 0.02
@@ -142,14 +144,14 @@ def train(texts: list[str], labels: np.ndarray, terms: dict[str, str], *, steps:
     label the first fit contradicts beyond doubt. Without labels of both kinds only listed terms
     count: a sentence that holds one scores 0.5."""
     model = Model(terms)
-    words = S.vocabulary((S.tokens(t, model.known) for t in texts), 2, MAX_FEATURES)
+    words = S.vocabulary((S.tokens(t, model.known) for t in texts), 2)
     model.words = frozenset(words)
     if len(set(labels.tolist())) < 2:
         model.features = {f"<{k}>": i for i, k in enumerate(LISTED)}
         model.weights = np.full(len(LISTED), 6.0)
         return model
     bags = [[model.names(s) for s in S.split(t)] for t in texts]
-    model.features = S.vocabulary(([f for s in b for f in s] for b in bags), 2 if len(texts) < 2000 else 3, MAX_FEATURES)
+    model.features = S.vocabulary(([f for s in b for f in s] for b in bags), LEAST)
     kinds = {f"<{k}>" for k in LISTED}
     get = model.features.get
     lists = [np.array([i for f in s if (i := get(f)) is not None], np.int64) for b in bags for s in b]
@@ -264,7 +266,7 @@ def score(rows: DataFrame, model: Model, terms: DataFrame | None = None) -> Data
 def _scored(spark, sf_dir: str) -> DataFrame:
     texts = load(spark, sf_dir, "text_dataset").select("id", F.col("normalized_content").alias("text"))
     terms = persist_table(listed_terms(load(spark, sf_dir, "bad_word")), "terms")
-    model = fit(texts, load(spark, sf_dir, "text_review"), terms)
+    model = once(spark, "abuse", sf_dir, ("text_dataset", "text_review", "bad_word"), lambda: fit(texts, load(spark, sf_dir, "text_review"), terms))
     return score(spread(texts), model, terms if few_terms(terms) is None else None)
 
 

@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardsieve.llm import sentences as S
+from wardsieve.llm.fitted import once
 from wardsieve.runtime import load, spread
 
 LEVELS = ("basic", "intermediate", "advanced")
-#: Graded documents that the models are fitted on at most (smallest seeded hashes), and their
-#: sentences: beyond it every second, third ... sentence of each document is left out.
+#: Graded documents that the models are fitted on at most (smallest seeded hashes), with all
+#: their sentences.
 GRADED = 6_000
-TRAINED_SENTENCES = 120_000
-MAX_FEATURES = 60_000
+#: Sentences that a feature must occur in.
+LEAST = 3
 MIN_WORDS = 40
 #: Words after which a sentence without any mark is cut.
 LONG = 30
@@ -135,10 +136,8 @@ def _profiles(p: np.ndarray, words: list[int], sentences: list[int]) -> np.ndarr
 def _fit_sentences(docs: list[list[list[str]]], y: np.ndarray, steps: int = 150) -> Model:
     """Softmax over words and trigrams. A wrong grade or a stray sentence is one of many, so the
     penalty keeps single sentences from being learnt by heart."""
-    every = max(1, -(-sum(map(len, docs)) // TRAINED_SENTENCES))
-    rows = [(s, c) for d, c in zip(docs, y, strict=True) for s in d[::every]]
+    rows = [(s, c) for d, c in zip(docs, y, strict=True) for s in d]
     model = Model()
-    least = 2 if len(docs) < 1000 else 3
     number: dict[str, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in s], np.int64) for s, _ in rows]
     grams = [_grams(w) for w in number]
@@ -147,7 +146,7 @@ def _fit_sentences(docs: list[list[list[str]]], y: np.ndarray, steps: int = 150)
         counts[w] += n
         for g in set(grams[number[w]]):
             counts[g] += n
-    model.features = {f: i for i, f in enumerate(sorted((f for f, n in counts.items() if n >= least), key=lambda f: (-counts[f], f))[:MAX_FEATURES])}
+    model.features = {f: i for i, f in enumerate(sorted((f for f, n in counts.items() if n >= LEAST), key=lambda f: (-counts[f], f)))}
     # sentences over words, and words over features: the same product with far fewer entries
     parts = [_word_features(w, model.features) for w in number]
     words = S.Rows([np.array([i for i, _ in p], np.int64) for p in parts], len(model.features), [np.array([x for _, x in p], float) for p in parts])
@@ -224,16 +223,21 @@ def n_words() -> F.Column:
     return F.size(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w != ""))
 
 
+def _model(spark, sf_dir: str) -> Model:
+    make = lambda: fit(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "doc_level"))
+    return once(spark, "level", sf_dir, ("documents", "doc_level"), make)
+
+
 def _graded(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = fit(docs.select("doc_id", "text"), load(spark, sf_dir, "doc_level"))
+    model = _model(spark, sf_dir)
     rows = docs.select("doc_id", "source", "lang", n_words().alias("n_words"), "text")
     return grade(spread(rows), model)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = fit(docs.select("doc_id", "text"), load(spark, sf_dir, "doc_level"))
+    model = _model(spark, sf_dir)
     rows = spread(docs.select("doc_id", "lang", "text")).where("lang = 'en'").where(n_words() >= MIN_WORDS).select("doc_id", "text")
     return grade(rows, model).where("reading_level <> 'intermediate'").select("doc_id", "reading_level")
 

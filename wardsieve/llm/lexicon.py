@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardsieve.llm.fitted import once
 from wardsieve.runtime import load, shared_path, spread, write_file
 
 TOKENIZERS = "/opt/tokenizers"
@@ -317,9 +318,14 @@ def token_counts(docs: DataFrame, key: str, text: str, lexicon: Published, *, fo
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
+def documents_lexicon(spark, sf_dir: str) -> Published:
+    """The lexicon of documents, which p8 and p9 share."""
+    return once(spark, "lexicon", sf_dir, ("documents",), lambda: compile_lexicon(load(spark, sf_dir, "documents").select("text")))
+
+
 def p8_ids(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(spread(docs), "doc_id", "text", compile_lexicon(docs.select("text")))
+    return encode(spread(docs), "doc_id", "text", documents_lexicon(spark, sf_dir))
 
 
 QUERIES = {"p8_ids": p8_ids}

@@ -9,6 +9,7 @@ members as canonical form, joined back to every row.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -86,19 +87,30 @@ def look(col: F.Column | str) -> F.Column:
 
 @cache
 def _bases() -> tuple[str, str]:
-    """Arguments of ``translate``: letters with marks, and their ASCII bases."""
-    pairs_ = [(chr(cp), unicodedata.normalize("NFD", chr(cp))[0]) for cp in range(0x80, 0x1_0000) if unicodedata.category(chr(cp)) in ("Lu", "Ll", "Lt", "Lo")]
-    pairs_ = [(c, b) for c, b in pairs_ if b.isascii()]
-    return "".join(c for c, _ in pairs_), "".join(b for _, b in pairs_)
+    """Arguments of ``translate``: letters and numbers with marks, and what they are without."""
+    out = []
+    for cp in range(0x80, sys.maxunicode + 1):
+        c = chr(cp)
+        base = unicodedata.normalize("NFD", c)
+        if base[0] != c and unicodedata.category(c)[0] in "LN" and not 0xAC00 <= cp < 0xD7A4:
+            out.append((c, base[0]))
+    return "".join(c for c, _ in out), "".join(b for _, b in out)
+
+
+#: Letters of Hangul, which compose without marks.
+_HANGUL = "\u1100-\u11ff\ua960-\ua97f\uac00-\ud7fb"
 
 
 def _skeleton(form: str) -> F.Column:
-    """A hash that strings equal under the collation share: their ASCII letters and digits.
+    """A hash that strings equal under the collation share: their ASCII letters and digits, or,
+    where they have none, their letters and numbers of other scripts without marks.
 
     Canonical equivalents differ in marks and precomposed letters only, ignorable characters are
     none of these, so unequal hashes mean unequal classes. The converse is left to the collation.
     """
-    return F.xxhash64(F.regexp_replace(F.translate(form, *_bases()), "[^A-Za-z0-9]+", ""))
+    bare = F.translate(form, *_bases())
+    ascii_ = F.regexp_replace(bare, "[^A-Za-z0-9]+", "")
+    return F.xxhash64(F.when(ascii_ != "", ascii_).otherwise(F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}]+|[{_HANGUL}]+", "")))
 
 
 def _variants(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,8 @@
 
 Documents are counted by exact token length. A source gives whole copies of itself while its
 budget allows; what remains is a subset-sum problem over its lengths with their counts: a
-proportional part is taken from every length, and a bounded-knapsack program closes the rest.
+proportional part is taken from every length, and a bounded-knapsack program closes the rest,
+over as wide a part of the budget as it takes to come as near as any selection can.
 Documents are then drawn by seed to the counts of each length.
 """
 
@@ -13,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardsieve.llm.lexicon import compile_lexicon, token_counts
+from wardsieve.llm.lexicon import documents_lexicon, token_counts
 from wardsieve.llm.quota import take_by_hash
 from wardsieve.runtime import load, persist_table, spread
 
-#: Tokens that the exact program closes; the proportional part comes first.
-EXACT_TOKENS = 8_192
+#: Tokens that the exact program closes at first; it takes more wherever these don't suffice.
+WINDOW = 8_192
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -46,26 +47,35 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Counts of each length whose sum comes as near to ``budget`` from below as possible."""
+    """Counts of each length whose sum comes as near to ``budget`` from below as is possible.
+
+    No sum of lengths is nearer than the largest multiple of their common factor. A proportional
+    part is taken first and the exact program closes a window of WINDOW tokens; if it does not
+    reach that bound, the window grows fourfold, in the end to the whole budget, where what the
+    program finds is the best there is.
+    """
     size = int((lengths * counts).sum())
     if budget >= size:
         return counts.copy()
-    exact = counts * (budget / size) if size else counts * 0.0
-    took = np.floor(exact).astype(np.int64)
-    left = budget - int((lengths * took).sum())
-    for i in np.argsort(-(exact - took), kind="stable"):
-        if took[i] < counts[i] and lengths[i] <= left - EXACT_TOKENS:
-            took[i] += 1
-            left -= int(lengths[i])
-    while True:  # long runs of short documents may still be open
-        room = np.where((lengths > 0) & (lengths <= left - EXACT_TOKENS), counts - took, 0)
-        i = int(np.argmax(room * lengths))
-        if room[i] <= 0:
-            break
-        more = min(int(room[i]), (left - EXACT_TOKENS) // int(lengths[i]))
-        took[i] += more
-        left -= more * int(lengths[i])
-    return took + knapsack(lengths, counts - took, left)
+    open_ = (lengths > 0) & (counts > 0)
+    factor = int(np.gcd.reduce(lengths[open_])) if open_.any() else 1
+    lengths, budget, size = lengths // factor, budget // factor, size // factor
+    window = WINDOW
+    while True:
+        took = np.floor(counts * (max(0, budget - window) / size)).astype(np.int64)
+        left = budget - int((lengths * took).sum())
+        while True:  # long runs of short documents may still be open
+            room = np.where((lengths > 0) & (lengths <= left - window), counts - took, 0)
+            i = int(np.argmax(room * lengths))
+            if room[i] <= 0:
+                break
+            more = min(int(room[i]), (left - window) // int(lengths[i]))
+            took[i] += more
+            left -= more * int(lengths[i])
+        took = took + knapsack(lengths, counts - took, left)
+        if window >= budget or int((lengths * took).sum()) == budget:
+            return took
+        window = min(budget, 4 * window)
 
 
 _PLAN = "source string, target_share double, max_repeat int, source_tokens long, all_tokens long, full_copies int, n_tokens long, take long"
@@ -97,7 +107,11 @@ def plan(sizes: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def shares(planned: DataFrame) -> DataFrame:
-    """Reached tokens and shares by source; ``short`` marks targets out of reach at max_repeat."""
+    """Reached tokens and shares by source, and what is missing of the target.
+
+    ``short`` marks sources whose fitted mix stays below the target though every document is
+    taken max_repeat times.
+    """
     by = planned.groupBy("source").agg(
         *[F.first(c).alias(c) for c in ("target_share", "max_repeat", "source_tokens", "all_tokens", "full_copies")], F.coalesce(F.sum(F.col("take") * F.col("n_tokens")), F.lit(0)).alias("extra_tokens")
     )
@@ -105,7 +119,7 @@ def shares(planned: DataFrame) -> DataFrame:
     total = F.sum("mix_tokens").over(Window.partitionBy())  # one row a source
     target = F.col("target_share") * F.col("all_tokens")
     return by.withColumn("mix_total", total).select(
-        "source", "target_share", target.alias("target_tokens"), "source_tokens", "max_repeat", "mix_tokens", F.when(F.col("mix_total") > 0, F.col("mix_tokens") / F.col("mix_total")).alias("mix_share"), (F.col("max_repeat") * F.col("source_tokens") < target).alias("short")
+        "source", "target_share", target.alias("target_tokens"), "source_tokens", "max_repeat", "mix_tokens", F.when(F.col("mix_total") > 0, F.col("mix_tokens") / F.col("mix_total")).alias("mix_share"), (target - F.col("mix_tokens")).alias("missing_tokens"), (((F.col("full_copies") == F.col("max_repeat")) | (F.col("source_tokens") == 0)) & (F.col("mix_tokens") < target)).alias("short")
     )
 
 
@@ -119,7 +133,7 @@ def mix(sizes: DataFrame, planned: DataFrame, key: str, *, seed: int = 1) -> Dat
 
 def _sizes(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return persist_table(token_counts(spread(docs), "doc_id", "text", compile_lexicon(docs.select("text"))), "sizes")
+    return persist_table(token_counts(spread(docs), "doc_id", "text", documents_lexicon(spark, sf_dir)), "sizes")
 
 
 def p9_found(spark, sf_dir: str) -> DataFrame:

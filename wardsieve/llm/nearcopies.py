@@ -29,8 +29,10 @@ MIN_WORDS = 10
 MAX_BITS = 8
 #: (shift, bits) of the segments of a 64-bit hash, and the radius within which one must agree.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Most frequent words whose order is kept; all others come first, by their hash.
+#: Most frequent words, whose counts are exact and which are written by their place.
 FREQUENT_WORDS = 20_000
+#: Counters of all other words, as a power of two; words that share one share their sum.
+COUNTERS_POWER = 20
 #: Rows that a word may occur in to be a key by itself.
 RARE_ROWS = 250
 #: Rows that may share a key before it is refined by a further word, and the most words of a key.
@@ -122,34 +124,36 @@ ORDERED = "id long, words array<long>, n int, rare int, busy int"
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """ORDERED: words from rare to frequent, and how many at the front are rare.
 
-    The order is one for all rows: words outside the most frequent by their hash, then the
-    frequent ones by rising document count, written as their place in that order, which takes
-    less room than a hash. ``rare`` words are keys by themselves; from ``busy`` on words occur in
-    more than KEY_ROWS rows. Document counts cover all rows; 20,000 words at most travel to the
-    driver and back.
+    The order is one for all rows: by document count, then by hash. Counts cover all rows. They
+    are exact for the most frequent words, which are written as their place, in less room than a
+    hash; for others they are at most too high, by the words that share a counter. ``rare`` words
+    are keys by themselves; from ``busy`` on words occur in more than KEY_ROWS rows. Whatever the
+    vocabulary, 20,000 words and 2^20 counters travel to the driver and back.
     """
     spark = sets.sparkSession
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = persist_table(sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "wordcounts")
     top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toPandas()
+    mask = (1 << COUNTERS_POWER) - 1
+    sums = counts.groupBy(F.col("w").bitwiseAND(F.lit(mask)).alias("c")).agg(F.sum("n").alias("n")).toPandas()
+    counters = np.zeros(mask + 1, np.int32)
+    counters[sums["c"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
     by_hash = np.argsort(top["w"].to_numpy(np.int64))
     known, n = top["w"].to_numpy(np.int64)[by_hash], top["n"].to_numpy(np.int64)
     place = (len(top) - np.arange(len(top), dtype=np.int64))[by_hash]
-    other = int(n[-1]) if len(top) == FREQUENT_WORDS else 1  # most rows of a word that isn't listed
-    shared = spark.sparkContext.broadcast((known, place, n[by_hash], other))
+    shared = spark.sparkContext.broadcast((known, place, n[by_hash], counters))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place, n, other = shared.value
+        known, place, n, counters = shared.value
         for b in batches:
             lists = b.column(1)
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            at, often, code = np.zeros(len(flat), np.int64), np.full(len(flat), other), flat
+            often, code = counters[flat & (len(counters) - 1)].astype(np.int64), flat
             if len(known) and len(flat):
                 i = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 hit = known[i] == flat
-                at, often = np.where(hit, place[i], 0), np.where(hit, n[i], other)
-                code = np.where(hit, place[i], flat)
-            by = np.lexsort((code, at, row))
+                often, code = np.where(hit, n[i], often), np.where(hit, place[i], flat)
+            by = np.lexsort((code, often, row))
             many = lambda flag: pa.array(np.bincount(row[flag], minlength=len(lists)).astype(np.int32))
             words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(code[by]))
             yield pa.RecordBatch.from_arrays([b.column(0), words, pa.array(np.diff(offsets).astype(np.int32)), many(often <= RARE_ROWS), many(often <= KEY_ROWS)], ["id", "words", "n", "rare", "busy"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 from datetime import date, timedelta
 
@@ -39,7 +40,7 @@ timothy vera victor victoria vincent walter wendy william yvonne zoe
 """.split()
 #: Endings of family names, and of streets.
 FAMILY = "berg|by|croft|dale|den|field|ford|gate|ham|holm|ings|kin|land|ley|lund|man|mont|more|ner|ander|quist|rell|ric|sen|shaw|son|stead|tane|ton|vale|well|wick|wood|worth|wynd"
-STREETS = "street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|close|cl|way|place|terrace|crescent"
+STREETS = "street|st|road|rd|lane|ln|avenue|ave|drive|dr|court|ct|close|cl|way|place|terrace|crescent|boulevard|blvd"
 TOWNS = "by|mere|wick|ton|ford|haven|stead|ury|bury|ham|field|port|ville|ley"
 #: What precedes an address, for folded numbers that read like words.
 PLACES = r"lives?|house|home|deliver(?:ed)?|parcel|package|come|meet|address|at|to|is|for"
@@ -61,7 +62,10 @@ def _number_patterns(d: str, lit) -> list[tuple[str, re.Pattern]]:
         rf"(?:\+{lit('1')}[ -]|{lit('001')}-|{lit('1')}-)?(?:\({d}{{3}}\) ?|{d}{{3}}[-.]){d}{{3}}[-.]{d}{{4}}",
         rf"\+{lit('1')} {d}{{3}} {d}{{3}} {d}{{4}}",
         rf"\+{d}{{2,3}}(?: {d}{{2,5}}){{2,4}}(?=\W|$)",
+        rf"\({lit('0')}{d}{{2,4}}\) ?{d}{{3,4}} {d}{{4}}",
     ]
+    if not lit("0").isalpha():  # without blanks a folded number is a word
+        phones += [r"\+[1-9]\d{9,13}", r"07\d{9}"]
     ids = [rf"{d}{{3}}-{d}{{2}}-{d}{{4}}", rf"{d}{{6}}-{d}{{4}}"]
     return [("phone", re.compile(rf"(?<![\w+-])(?:{'|'.join(phones)}){end}", _I)), ("id", re.compile(rf"{edge}(?:{'|'.join(ids)}){end}", _I))]
 
@@ -79,7 +83,7 @@ class _Mode:
             nino = rf"\bqq ?{d}{{2}} ?{d}{{2}} ?{d}{{2}} ?[a-d]\b|\b[^\W\d_]{{2}} (?={d}{{0,2}} ?{d}{{0,2}} ?{d}?[269]){d}{{2}} {d}{{2}} {d}{{2}} [a-d]\b"
             licence = rf"\b[^\W\d_]{{5}}{d}{{6}}[a-z0-9]{{2}}{d}[a-z]{{2}}\b"
         else:
-            loose, nino, licence = r"\b[^\W\d_]{2}\d{7}\b", r"\b[^\W\d_]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]\b", r"\b[^\W\d_]{5}\d{6}[a-z0-9]{5}\b"
+            loose, nino, licence = r"(?:(?<=passport )|(?<=passport no\. )|(?<=passport number )|(?<=passport number is ))\d{9}\b|\b[^\W\d_]{2}\d{7}\b", r"\b[^\W\d_]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]\b", r"\b[^\W\d_]{5}\d{6}[a-z0-9]{5}\b"
         self.ids = re.compile(rf"(?<![\w-])(?:{licence}|{nino}|{loose})(?![\w-])", _I)
         flat = r"(?:(?:flat|apt|apartment|unit)\.? ?\w{1,4},? )?"
         # a town of any name is known by its code, one without by its ending
@@ -120,12 +124,18 @@ _FAMILY = rf"{_L}{{1,14}}(?:{FAMILY})(?:-{_L}{{2,18}})?"
 _WORD = re.compile(rf"{_L}+")
 _AFTER = re.compile(rf"\.? (?:{_L}\.? )?{_FAMILY}\b", _I)
 _AFTER_TITLE = re.compile(rf" (?:[A-Z]\. )?[A-Z][^\W\d_A-Z]{{3,18}}(?:-{_L}{{2,18}})?\b")
+_CAPITAL = rf"[A-Z][^\W\d_A-Z]{{1,18}}(?:[-'’][A-Z]?[^\W\d_A-Z]{{1,18}})?"
+#: Titles, and what introduces a person's full name, whatever the name.
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof)\b\.?"
+_NO_NAME = r"(?!(?:Street|Road|Lane|Avenue|Drive|Court|Close|Way|Place|Park|Square)\b)"
+_INTRODUCED = re.compile(rf"\b(?:{_TITLE}|(?:[Mm]y name is|[Ss]igned,?|[Ss]incerely,|[Rr]egards,)(?: {_TITLE})?) (?!{_TITLE})(?P<name>{_CAPITAL}(?: [A-Z]\.)? {_NO_NAME}{_CAPITAL})\b")
 _BEFORE = re.compile(rf"\b{_FAMILY}, $", _I)
 _ALONE = re.compile(rf"(?: {_L}\.)?(?! (?:{VERBS})\b)(?!['’\w])", _I)
 
 
 def _names(seen: str) -> Iterator[tuple[int, int]]:
-    """Given names from the list with a family name after them, or before them and a comma."""
+    """Given names from the list with a family name after them, or before them and a comma; then
+    two capitalised words of any kind after a title or an introduction."""
     upto = 0
     for m in _WORD.finditer(seen):
         if m.start() < upto or m.group().lower() not in _GIVEN:
@@ -140,6 +150,8 @@ def _names(seen: str) -> Iterator[tuple[int, int]]:
         if before and (alone := _ALONE.match(seen, m.end())):
             upto = alone.end()
             yield start + before.start(), upto
+    for m in _INTRODUCED.finditer(seen):
+        yield m.span("name")
 
 
 _WORDLIKE = re.compile(r"(?i)^(?:a|i|o|e|s|t|b|as|at|be|is|it|so|to|bet|eat|sea|tea|toe|sit|sat|set|bat|bit|boat|test|best|oat|ease|seat|east|boo|too|see|bee|tie|toes|sets|bits|oats)$")
@@ -218,6 +230,7 @@ class Feistel:
 
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2000, 1, 1) - date(1900, 1, 1)).days
 _NATIONAL = re.compile(r"^(\d{2})(\d{2})(\d{2})-(\d{4})$")
+_SOCIAL = re.compile(r"^(\d{3})-(\d{2})-(\d{4})$")
 
 
 def plain(kind: str, value: str) -> str:
@@ -245,20 +258,44 @@ def _unfold_number(v: str) -> str:
     return v.translate(_UNFOLD)
 
 
+def _issued(area: int, group: int, serial: int) -> bool:
+    return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+
+
+def _no_date(v: str, feistel: Feistel) -> str:
+    """A dated number without a valid date stays one: its image is walked until it has none."""
+    n = int(v[:6] + v[7:])
+    while True:
+        n = feistel.permute(n, 10**10, "undated")
+        out = f"{n // 10_000:06d}"
+        try:
+            date(1900 + int(out[:2]), int(out[2:4]), int(out[4:]))
+        except ValueError:
+            return f"{out}-{n % 10_000:04d}"
+
+
 def pseudonym(kind: str, value: str, feistel: Feistel) -> str:
     """The stand-in of a value: same format for numbers, a linked code for the rest."""
     v = plain(kind, value)
     if kind not in ("phone", "id"):
-        n = int.from_bytes(hashlib.sha256(f"{kind}|{v}".encode()).digest()[:5], "big")
-        return f"{feistel.permute(n, 1 << 40, kind):010x}"
+        n = int.from_bytes(hmac.digest(feistel.key, f"{kind}|{v}".encode(), hashlib.sha256)[:10], "big")
+        return f"{feistel.permute(n, 1 << 80, kind):020x}"
     m = _NATIONAL.match(v)
     if m:
-        try:  # a valid date stays a valid date
+        try:  # a valid date stays a valid date, and is permuted with its serial as one number
             day = (date(1900 + int(m[1]), int(m[2]), int(m[3])) - _FIRST_DAY).days
-            born = _FIRST_DAY + timedelta(feistel.permute(day, _DAYS, f"born|{m[4]}"))
-            return f"{born:%y%m%d}-{feistel.permute(int(m[4]), 10_000, 'serial'):04d}"
         except ValueError:
-            pass
+            return _no_date(v, feistel)
+        born, serial = divmod(feistel.permute(day * 10_000 + int(m[4]), _DAYS * 10_000, "born"), 10_000)
+        return f"{_FIRST_DAY + timedelta(born):%y%m%d}-{serial:04d}"
+    m = _SOCIAL.match(v)
+    if m and _issued(*map(int, m.groups())):
+        # an issued number stays one: area 1 to 899 but 666, group and serial not 0
+        area = int(m[1]) - 1 - (int(m[1]) > 666)
+        n = (area * 99 + int(m[2]) - 1) * 9_999 + int(m[3]) - 1
+        n, serial = divmod(feistel.permute(n, 898 * 99 * 9_999, "issued"), 9_999)
+        area, group = divmod(n, 99)
+        return f"{area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
     digits = [i for i, c in enumerate(v) if c.isdigit()]
     letters = [i for i, c in enumerate(v) if "A" <= c <= "Z"]
     shape = "".join("9" if c.isdigit() else "A" if "A" <= c <= "Z" else c for c in v)
@@ -282,63 +319,64 @@ def pseudonym(kind: str, value: str, feistel: Feistel) -> str:
     return "".join(out)
 
 
-def redact(text: str | None, feistel: Feistel) -> str | None:
-    """The text with ``[KIND pseudonym]`` for each item; everything else stays as it was."""
-    items = find(text)
-    if not items:
-        return text
-    out, upto = [], 0
-    for kind, a, b in items:
+def redact(text: str | None, feistel: Feistel) -> tuple[str | None, list[str]]:
+    """The text with ``[KIND pseudonym]`` for each item, everything else as it was; and the kinds
+    of its placeholders in order."""
+    out, kinds, upto = [], [], 0
+    for kind, a, b in find(text):
         out += [text[upto:a], f"[{kind.upper()} {pseudonym(kind, text[a:b], feistel)}]"]
+        kinds.append(kind)
         upto = b
-    return "".join([*out, text[upto:]])
+    return ("".join([*out, text[upto:]]) if out else text), kinds
 
 
 # --- operators ------------------------------------------------------------------------------
 
 
-def items(rows: DataFrame) -> DataFrame:
-    """(key, kind, nth): the items of rows (key, text); nth counts a kind within a row from 1."""
-    key = rows.columns[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, kinds, nth = [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                seen: dict[str, int] = {}
-                for kind, _, _ in find(text):
-                    seen[kind] = seen.get(kind, 0) + 1
-                    at.append(i)
-                    kinds.append(kind)
-                    nth.append(seen[kind])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(nth, pa.int32())], [key, "kind", "nth"])
-
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, kind string, nth int")
-
-
 def redacted(rows: DataFrame, key: bytes) -> DataFrame:
-    """(key column, text, n_items): the texts with placeholders. Null texts stay null."""
+    """(key column, text, kinds): the texts with placeholders, and their kinds in order. Null
+    texts stay null. Whoever has ``key`` can link values, so there is no default."""
     name = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel = Feistel(key)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, feistel) for t in texts], pa.string()), pa.array([len(find(t)) for t in texts], pa.int32())], [name, "text", "n_items"])
+            texts, kinds = zip(*(redact(t, feistel) for t in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], [name, "text", "kinds"])
+
+    return rows.mapInArrow(run, f"`{name}` {rows.schema[name].dataType.simpleString()}, text string, kinds array<string>")
+
 
-    return rows.mapInArrow(run, f"`{name}` {rows.schema[name].dataType.simpleString()}, text string, n_items int")
+def items(done: DataFrame) -> DataFrame:
+    """(key column, kind, nth): the placeholders of ``redacted`` texts; nth counts a kind within a
+    row from 1."""
+    name = done.columns[0]
+    one = done.select(name, F.posexplode("kinds").alias("at", "kind"), "kinds")
+    return one.select(name, "kind", F.size(F.filter(F.slice("kinds", F.lit(1), F.col("at") + 1), lambda k: k == F.col("kind"))).alias("nth"))
 
 
 def _rows(spark, sf_dir: str) -> DataFrame:
     return spread(load(spark, sf_dir, "text_dataset").select("id", F.col("normalized_content").alias("text")))
 
 
+#: Setting that holds the key as text; without it every application draws one of its own.
+KEY_SETTING = "wardsieve.pseudonym.key"
+_DRAWN = secrets.token_bytes(32)
+
+
+def _key(spark) -> bytes:
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _DRAWN
+
+
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return items(_rows(spark, sf_dir))
+    """(id, kind, nth) of the placeholders."""
+    return items(redacted(_rows(spark, sf_dir), _key(spark)).select("id", "kinds"))
 
 
-def p1_redacted(spark, sf_dir: str, key: bytes = b"wardsieve-demo-key") -> DataFrame:
-    return redacted(_rows(spark, sf_dir), key)
+def p1_redacted(spark, sf_dir: str) -> DataFrame:
+    """(id, text, n_items)."""
+    return redacted(_rows(spark, sf_dir), _key(spark)).select("id", "text", F.size("kinds").alias("n_items"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted}

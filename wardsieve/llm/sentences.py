@@ -131,8 +131,8 @@ def adam(loss_grad: Callable[[np.ndarray], np.ndarray], w: np.ndarray, *, steps:
     return w
 
 
-def vocabulary(lists: Iterable[Iterable[str]], least: int, most: int) -> dict[str, int]:
-    """Features by falling document count; ties by name."""
+def vocabulary(lists: Iterable[Iterable[str]], least: int) -> dict[str, int]:
+    """Features of at least ``least`` documents by falling document count; ties by name."""
     counts = Counter(f for x in lists for f in set(x))
-    kept = sorted((f for f, n in counts.items() if n >= least), key=lambda f: (-counts[f], f))[:most]
+    kept = sorted((f for f, n in counts.items() if n >= least), key=lambda f: (-counts[f], f))
     return {f: i for i, f in enumerate(kept)}
