@@ -126,6 +126,14 @@ def test_stream_uses_earlier_batches_and_repeats_safely(spark, tmp_path):
     got = {r.request_id: (r.verdict, r.cache_hit) for r in s.results().collect()}
     assert got == {"a": ("REJECT", False), "b": ("CLEAN", False), "c": ("REJECT", True), "d": ("CLEAN", False)}
     assert s.deltas().count() == 3 and s.deltas(1).count() == 2
+    s.process(spark.createDataFrame([("a", "an idiot"), ("e", "last")], "request_id string, text string"), 2)
+    assert "a" not in {r.request_id for r in spark.read.parquet(f"{s.path}/results/batch=2").collect()}  # answered before
+    s.compact()
+    assert sorted(p.name for p in (tmp_path / "state" / "cache").iterdir()) == ["batch=2", "compacted=1"]
+    assert s.deltas().count() == 4 and s.deltas(2).count() == 3
+    s.process(spark.createDataFrame([("f", "An Idiot")], "request_id string, text string"), 3)
+    s.compact()
+    assert s.deltas(3).count() == 4 and {r.request_id: r.cache_hit for r in s.results().collect()}["f"]
 
 
 def test_stream_from_files(spark, tmp_path):
@@ -155,3 +163,45 @@ def test_rates_drop_late_rows(spark, tmp_path):
     q.awaitTermination()
     got = {r.hour.hour: r.n_requests for r in spark.table("rates").collect()}
     assert got.get(1) == 2
+
+
+def test_download_over_http(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(5)
+            self.send_response(404 if self.path == "/gone" else 200)
+            self.send_header("Content-Type", "text/html" if self.path == "/page" else "image/png")
+            self.end_headers()
+            self.wfile.write(b"pixels")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.createDataFrame([(1, f"{at}/a"), (2, f"{at}/gone"), (3, f"{at}/page"), (4, "no url"), (5, None), (6, f"{at}/slow")], "id long, url string").coalesce(1)
+    got = {r.id: r for r in images.download(rows, "id", "url", seconds=1, images_only=True).collect()}
+    server.shutdown()
+    assert bytes(got[1].content) == b"pixels" and len(got[1].file_hash) == 64 and got[1].error is None
+    assert got[2].error == "status 404" and got[3].error == "not an image: text/html" and all(got[i].error and got[i].file_hash is None for i in (4, 5, 6))
+
+
+def test_scorer_time_and_health(spark):
+    import time
+
+    def slow(part):
+        if "slow" in part:
+            time.sleep(3)
+        return ["Safety: Safe"] * len(part)
+
+    rows = spark.createDataFrame([(1, "a"), (2, "slow"), (3, "b")], "id long, text string").coalesce(1)
+    got = {r.id: (r.result, r.error) for r in scorers.apply_scorer(rows, "id", "text", slow, seconds=0.5).collect()}
+    assert got[1] == got[3] == ("Safety: Safe", None) and got[2] == (None, "no answer within 0.5 s")
+    assert scorers.health(slow) == {"status": "healthy", "error": ""} and scorers.health(lambda x: [])["error"] == "0 answers to one item"
+    assert scorers.health(lambda x: 1 / 0)["status"] == "unhealthy" and not scorers.healthy(lambda x: 1 / 0)

@@ -35,6 +35,11 @@ def drop(filter_: DataFrame) -> DataFrame:
     return filter_.where(F.lit(False))
 
 
+def unexpired(filters: DataFrame, now: Column) -> DataFrame:
+    """(position) of filters (position, expires_at) that live at ``now``; a null never expires."""
+    return filters.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("position").distinct()
+
+
 def probe(rows: DataFrame, key: str, filter_: DataFrame, *, bits: int, hashes: int) -> DataFrame:
     """(key, maybe): whether all bits of a distinct key are set. An empty filter says no."""
     asked = rows.select(key).where(F.col(key).isNotNull()).distinct().select(key, F.explode(F.array_distinct(positions(key, bits, hashes))).alias("position"))

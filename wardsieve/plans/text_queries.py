@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,16 @@ def normalize_text_exact(spark, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", X.normalize_exact("text").alias("norm"))
 
 
+#: A phrase in conjoining letters, and in syllables.
+_APART, _WHOLE = unicodedata.normalize("NFD", "한국어 값 각"), "한국어 값 각"
+
+
+@query(f"SELECT doc_id, concat('{_WHOLE} ', {norm('text')}) AS norm FROM documents WHERE text IS NOT NULL")
+def normalize_composed(spark, d: str) -> DataFrame:
+    """Texts that begin with conjoining letters have the form of those that begin with syllables."""
+    return load(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.normalize(F.concat(F.lit(f"{_APART} "), "text")).alias("norm"))
+
+
 @query(f"SELECT doc_id, len({toks('text')}) AS n_tokens, len(list_distinct({toks('text')})) AS n_distinct FROM documents")
 def tokenize_counts(spark, d: str) -> DataFrame:
     t = X.tokens("text")
@@ -255,6 +267,14 @@ def bloom_probe_images(spark, d: str) -> DataFrame:
     return bloom.probe(load(spark, d, "image_batch"), "file_hash", made, bits=_IMAGE.bloom_bits, hashes=_IMAGE.bloom_hashes)
 
 
+@query(_built("content_hash", "(SELECT content_hash FROM text_cache WHERE expires_at IS NULL OR expires_at > TIMESTAMPTZ '2026-05-16 00:00:00+00')", _TEXT))
+def bloom_expired(spark, d: str) -> DataFrame:
+    """Bits that are left when those of expired rows have run out."""
+    rows = load(spark, d, "text_cache").where("content_hash IS NOT NULL")
+    bits = rows.select(F.explode(bloom.positions("content_hash", _TEXT.bloom_bits, _TEXT.bloom_hashes)).alias("position"), "expires_at")
+    return bloom.unexpired(bits, F.lit("2026-05-16 00:00:00").cast("timestamp"))
+
+
 @query("SELECT DISTINCT content_hash, false AS maybe FROM text_batch WHERE content_hash IS NOT NULL")
 def bloom_dropped(spark, d: str) -> DataFrame:
     """After its filter is dropped, nothing may be in it."""

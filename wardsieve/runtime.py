@@ -114,11 +114,18 @@ def folded(col: str | F.Column) -> F.Column:
 def spread(df: DataFrame, floor: int | None = None) -> DataFrame:
     """Give a scan at least as many partitions as there are task slots.
 
-    A no-op when the scanned files are large enough to be split finely; a round-robin exchange
-    otherwise, used before expensive Python stages whose input is a few large row groups.
+    A no-op where the scanned files are large enough to be split that finely by Spark itself; a
+    round-robin exchange otherwise, before expensive Python stages over small tables.
     """
     spark = df.sparkSession
     slots = floor or spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df if size >= 2 * slots * split else df.repartition(slots)
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    # as the scan counts: every file costs its bytes and those of opening it
+    cost = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    size = 0
+    for i in range(leaves.size()):
+        relation = leaves.apply(i)
+        size += int(str(relation.stats().sizeInBytes()))
+        if relation.getClass().getSimpleName() == "LogicalRelation":
+            size += cost * len(relation.relation().location().inputFiles())
+    return df if size >= slots * cost else df.repartition(slots)

@@ -17,7 +17,7 @@ from wardsieve.config import TextSettings
 from wardsieve.operators.moderate import moderate_text, text_cache_delta
 from wardsieve.schemas import TEXT_CACHE
 
-_BATCH = re.compile(r"batch=(\d+)$")
+_BATCH = re.compile(r"(batch|compacted)=(\d+)$")
 
 
 class TextStream:
@@ -27,11 +27,32 @@ class TextStream:
         self.spark, self.path = spark, path.rstrip("/")
         self.cache, self.words, self.scores, self.settings = cache, words, scores, settings
 
-    def _written(self, kind: str, before: int | None) -> list[str]:
+    def _written(self, kind: str, before: int | None = None) -> list[str]:
+        """Folders of batches, the last compacted one in place of those it holds."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().toString() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return [n for n in names if (m := _BATCH.search(n)) and (before is None or int(m[1]) < before)]
+        found = [(int(m[2]), m[1], n) for n in names if (m := _BATCH.search(n)) and (before is None or int(m[2]) < before)]
+        folded = max((x for x in found if x[1] == "compacted"), default=None)
+        return ([folded[2]] if folded else []) + [n for i, kind_, n in found if kind_ == "batch" and (folded is None or i > folded[0])]
+
+    def compact(self) -> None:
+        """Fold the cache rows of all batches but the last, which may be run again, into one
+        folder, so that later batches read few files. Safe to break off at any point."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/cache")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        ids = sorted(int(m[2]) for s in (fs.listStatus(root) if fs.exists(root) else []) if (m := _BATCH.search(s.getPath().toString())) and m[1] == "batch")
+        if len(ids) < 2:
+            return
+        upto = ids[-2]
+        self.deltas(upto + 1).write.mode("overwrite").parquet(f"{self.path}/cache/_folding")
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/cache/compacted={upto}")
+        fs.delete(done, True)
+        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/cache/_folding"), done)
+        for s in fs.listStatus(root):
+            m = _BATCH.search(s.getPath().toString())
+            if m and (int(m[2]) < upto or (m[1] == "batch" and int(m[2]) == upto)):
+                fs.delete(s.getPath(), True)
 
     def deltas(self, before: int | None = None) -> DataFrame:
         """Cache rows written by batches, or by those before ``before``."""
