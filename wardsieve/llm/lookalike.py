@@ -1,7 +1,7 @@
 """One consistent form for strings that look the same.
 
 A character table, built by rule from the Unicode database plus a short list of letters drawn
-alike, folds width, blanks, invisible characters and look-alike letters. Canonically equal
+alike, folds width, mathematical styles, blanks, invisible characters and look-alike letters. Canonically equal
 compositions and ignorable characters are left to the grouping itself: classes are formed in
 SQL under the accent- and case-sensitive ``UNICODE`` collation. Each class gets one of its
 members as canonical form, joined back to every row.
@@ -24,7 +24,11 @@ ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
     "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "κ": "k", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C",
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "ɡ": "g", "ɑ": "a", "ı": "i", "ꞌ": "'",
+    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "ɡ": "g", "ɑ": "a", "ı": "i", "ꞌ": "'", "Ӏ": "l",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ⲟ": "o", "Ⲟ": "O", "ⲣ": "p", "Ⲣ": "P", "ⲥ": "c", "Ⲥ": "C", "Ⲕ": "K", "Ⲛ": "N", "Ⲙ": "M", "Ⲏ": "H", "Ⲧ": "T", "Ⲭ": "X",
 }
 #: Hyphens drawn alike.
 HYPHENS = "‐‑‒–−˗﹘﹣－⁃"
@@ -39,7 +43,7 @@ def table() -> tuple[str, str]:
     """Arguments of ``translate``: characters with a counterpart first, then those dropped."""
     keep: dict[str, str] = {h: "-" for h in HYPHENS}
     drop: list[str] = list(INVISIBLE)
-    for cp in range(0x20, 0x1_0000):
+    for cp in range(0x20, sys.maxunicode + 1):
         c = chr(cp)
         kind = unicodedata.category(c)
         if kind in ("Cs", "Cn", "Co") or c in keep or c in drop:
@@ -47,11 +51,12 @@ def table() -> tuple[str, str]:
         if kind in ("Zs", "Zl", "Zp"):
             if c != " ":
                 keep[c] = " "
-        elif kind in ("Cf", "Cc") or 0xFE00 <= cp <= 0xFE0F:
+        elif kind in ("Cf", "Cc") or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
             drop.append(c)
         else:
             d = unicodedata.decomposition(c)
-            to = unicodedata.normalize("NFKC", c) if d.startswith(("<wide>", "<narrow>")) else c
+            styled = d.startswith("<font>") and unicodedata.category(c)[0] in "LN"
+            to = unicodedata.normalize("NFKC", c) if styled or d.startswith(("<wide>", "<narrow>")) else c
             base = unicodedata.normalize("NFD", to)
             to = unicodedata.normalize("NFC", ALIKE.get(base[0], base[0]) + base[1:])
             if len(to) == 1 and to != unicodedata.normalize("NFC", c):

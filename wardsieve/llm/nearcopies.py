@@ -313,14 +313,19 @@ def p2_groups(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-ORACLES = {
-    "p2_found": r"""
-WITH w AS (SELECT id, list_sort(list_distinct(list_transform(regexp_extract_all(normalized_content, '[\p{L}\p{N}]+'), lambda x: lower(x)))) AS ws FROM text_dataset WHERE normalized_content IS NOT NULL),
+_PAIRS = r"""
+WITH RECURSIVE w AS (SELECT id, list_sort(list_distinct(list_transform(regexp_extract_all(normalized_content, '[\p{L}\p{N}]+'), lambda x: lower(x)))) AS ws FROM text_dataset WHERE normalized_content IS NOT NULL),
 s AS (SELECT id, ws, len(ws) AS n FROM w WHERE len(ws) >= 10),
-i AS (SELECT id, phash FROM image_dataset WHERE phash <> 0)
-SELECT 'text' AS kind, a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)
+i AS (SELECT id, phash FROM image_dataset WHERE phash <> 0),
+found AS (SELECT 'text' AS kind, a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)
 WHERE 17 * len(list_intersect(a.ws, b.ws)) >= 7 * (a.n + b.n)
 UNION ALL
-SELECT 'image' AS kind, a.id AS id_a, b.id AS id_b FROM i a JOIN i b ON a.id < b.id AND bit_count(xor(a.phash, b.phash)) <= 8
-""",
+SELECT 'image' AS kind, a.id AS id_a, b.id AS id_b FROM i a JOIN i b ON a.id < b.id AND bit_count(xor(a.phash, b.phash)) <= 8)
+"""
+ORACLES = {
+    "p2_found": _PAIRS + "SELECT * FROM found",
+    "p2_groups": _PAIRS
+    + """, e AS (SELECT kind, id_a AS a, id_b AS b FROM found UNION ALL SELECT kind, id_b, id_a FROM found),
+r(kind, id, x) AS (SELECT DISTINCT kind, a, a FROM e UNION SELECT r.kind, r.id, e.b FROM r JOIN e ON e.kind = r.kind AND e.a = r.x)
+SELECT kind, id, min(x) AS group_id, (SELECT count(*) FROM e WHERE e.kind = r.kind AND e.a = r.id) AS links FROM r GROUP BY kind, id""",
 }
