@@ -32,7 +32,7 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Most frequent words, whose counts are exact and which are written by their place.
 FREQUENT_WORDS = 20_000
 #: Counters of all other words, as a power of two; words that share one share their sum.
-COUNTERS_POWER = 20
+COUNTERS_POWER = 18
 #: Rows that a word may occur in to be a key by itself.
 RARE_ROWS = 250
 #: Rows that may share a key before it is refined by a further word, and the most words of a key.
@@ -128,17 +128,17 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     are exact for the most frequent words, which are written as their place, in less room than a
     hash; for others they are at most too high, by the words that share a counter. ``rare`` words
     are keys by themselves; from ``busy`` on words occur in more than KEY_ROWS rows. Whatever the
-    vocabulary, 20,000 words and 2^20 counters travel to the driver and back.
+    vocabulary, 20,000 words and 2^18 counters travel to the driver and back.
     """
     spark = sets.sparkSession
     counts = persist_table(sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "wordcounts")
-    top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toPandas()
+    top = counts.where("n > 1").orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toArrow()
     mask = (1 << COUNTERS_POWER) - 1
-    sums = counts.groupBy(F.col("w").bitwiseAND(F.lit(mask)).alias("c")).agg(F.sum("n").alias("n")).toPandas()
+    sums = counts.groupBy(F.col("w").bitwiseAND(F.lit(mask)).alias("c")).agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(mask + 1, np.int32)
-    counters[sums["c"].to_numpy(np.int64)] = np.minimum(sums["n"].to_numpy(np.int64), 2**31 - 1)
-    by_hash = np.argsort(top["w"].to_numpy(np.int64))
-    known, n = top["w"].to_numpy(np.int64)[by_hash], top["n"].to_numpy(np.int64)
+    counters[sums["c"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**31 - 1)
+    by_hash = np.argsort(top["w"].to_numpy())
+    known, n = top["w"].to_numpy()[by_hash], top["n"].to_numpy()
     place = (len(top) - np.arange(len(top), dtype=np.int64))[by_hash]
     shared = spark.sparkContext.broadcast((known, place, n[by_hash], counters))
 
