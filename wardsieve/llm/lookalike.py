@@ -106,21 +106,21 @@ def _bases() -> tuple[str, str]:
 _HANGUL = "\u1100-\u11ff\ua960-\ua97f\uac00-\ud7fb"
 
 
-def _skeleton(form: str) -> F.Column:
-    """A hash that strings equal under the collation share: their ASCII letters and digits, or,
+def _with_skeleton(rows: DataFrame, form: str) -> DataFrame:
+    """``rows`` with sk, a hash that strings equal under the collation share: their ASCII letters and digits, or,
     where they have none, their letters and numbers of other scripts without marks.
 
     Canonical equivalents differ in marks and precomposed letters only, ignorable characters are
     none of these, so unequal hashes mean unequal classes. The converse is left to the collation.
     """
-    bare = F.translate(form, *_bases())
-    ascii_ = F.regexp_replace(bare, "[^A-Za-z0-9]+", "")
-    return F.xxhash64(F.when(ascii_ != "", ascii_).otherwise(F.regexp_replace(bare, rf"[^\p{{L}}\p{{N}}]+|[{_HANGUL}]+", "")))
+    rows = rows.withColumn("__bare", F.translate(form, *_bases())).withColumn("__ascii", F.regexp_replace("__bare", "[^A-Za-z0-9]+", ""))
+    other = F.regexp_replace("__bare", rf"[^\p{{L}}\p{{N}}]+|[{_HANGUL}]+", "")
+    return rows.withColumn("sk", F.xxhash64(F.when(F.col("__ascii") != "", F.col("__ascii")).otherwise(other))).drop("__bare", "__ascii")
 
 
 def _variants(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct strings (kind, text, form, sk), and the (kind, sk) that several of them share."""
-    variants = rows.where("text IS NOT NULL").groupBy("kind", "text").agg(F.count("*").alias("n")).withColumn("form", look("text")).withColumn("sk", _skeleton("form"))
+    variants = _with_skeleton(rows.where("text IS NOT NULL").groupBy("kind", "text").agg(F.count("*").alias("n")).withColumn("form", look("text")), "form")
     return variants, variants.groupBy("kind", "sk").agg(F.count("*").alias("m")).where("m > 1").select("kind", "sk")
 
 
