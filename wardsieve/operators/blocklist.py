@@ -43,7 +43,7 @@ def gate_keys(blocklist: DataFrame) -> DataFrame:
 
 def gate(texts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``key`` values of texts (key, text) of which some token's normal form is a gate key."""
-    words = texts.select(key, F.explode(F.array_distinct(F.transform(tokens("text"), normalize))).alias("token"))
+    words = texts.select(key, F.explode(F.array_distinct(tokens("text"))).alias("token")).select(key, normalize("token").alias("token"))
     return words.join(keys, "token", "left_semi").select(key).distinct()
 
 
