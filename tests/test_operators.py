@@ -151,6 +151,12 @@ def test_similarity_top_and_safe_rows(spark):
     assert [r.file_hash for r in got] == ["f1", "f2", "f4", "f8", "f3"] and [r.distance for r in got] == [1, 1, 1, 1, 2]
 
 
+def test_exploded_bands_are_not_broadcast(spark):
+    one, two = spark.range(1, 50).selectExpr("id AS phash"), spark.range(20, 90).selectExpr("id AS phash")
+    plan = similar.near(one, two, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [seg" in plan and "BroadcastHashJoin [seg" not in plan
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(200)] + [(None,)], "k string")
     made = bloom.build(keys, "k", bits=1 << 12, hashes=4)

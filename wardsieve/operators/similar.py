@@ -36,7 +36,8 @@ def near(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     once. Nulls match nothing. Values are taken distinct first, so repeated hashes meet once."""
     parts = segments(distance)
     keyed = lambda df, name: df.where("phash IS NOT NULL").select(F.col("phash").alias(name)).distinct().select(name, F.explode(_balls(F.col(name), parts)).alias("k")).select(name, "k.seg", "k.band")
-    met = keyed(left, "a").join(keyed(right, "b"), ["seg", "band"]).where(hamming("a", "b") <= distance)
+    # neither side is broadcast: plans reckon an exploded side at its size before it is exploded
+    met = keyed(left, "a").hint("merge").join(keyed(right, "b").hint("merge"), ["seg", "band"]).where(hamming("a", "b") <= distance)
     # a pair meets in several bands: keep it in the first close segment, at its own code or the
     # smaller of the two codes in the middle
     diff = F.col("a").bitwiseXOR(F.col("b"))
