@@ -334,6 +334,15 @@ def test_hot_keys_and_crowds(spark, monkeypatch):
     assert got == set(range(2, 400)) | set(range(401, 800))
 
 
+def test_batch_probes_are_not_broadcast(spark):
+    store = history.BatchStore(spark)
+    rows = spark.createDataFrame([(1 << i, 1, i) for i in range(60)], "phash long, batch_no int, row_id long")
+    store.append(rows)
+    # the bucketed table's size is unknown; that of the probes is reckoned before they are made
+    plan = store.probe(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [cell" in plan and "BroadcastHashJoin" not in plan
+
+
 # --- 5 abuse, 10 reading level ----------------------------------------------------------------
 
 

@@ -127,6 +127,12 @@ _ROW = ["phash", "batch_no", "row_id"]
 HISTORY = -1
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of which no side is broadcast. Plans reckon probes at the size of the rows they are
+    made of, of which each gives a hundred and more; keys and rows grow with the batches."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 class BatchStore:
     """Keys and cells in one folder. Appending adds files and touches none of the old ones.
 
@@ -168,7 +174,7 @@ class BatchStore:
         store. Null keys are left out."""
         step, self.steps = self.steps, self.steps + 1
         firsts = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("batch_no", "row_id", "tag")).alias("f"))
-        new = firsts.join(self.keys().select("key"), "key", "left_anti")
+        new = _merged(firsts, self.keys().select("key"), "key", "left_anti")
         self._append(new.select("key", "f.tag", F.lit(step).alias("step"), "f.batch_no", "f.row_id"), self._keys, "key")
         return self.keys().where(F.col("step") == step)
 
@@ -198,8 +204,8 @@ class BatchStore:
             led = self.cells().where((F.col("cell") >= _LIMIT) & F.col("head")).select("cell", F.lit(True).alias("led"))
             placed = persist_table(placed, "placed")
             fine = placed.where("NOT head")
-            first = fine.groupBy("cell").agg(F.min_by("phash", F.struct("batch_no", "row_id", "phash")).alias("first")).join(led, "cell", "left_anti")
-            fine = fine.join(first, "cell", "left").withColumn("head", F.coalesce(F.col("phash") == F.col("first"), F.lit(False)))
+            first = _merged(fine.groupBy("cell").agg(F.min_by("phash", F.struct("batch_no", "row_id", "phash")).alias("first")), led, "cell", "left_anti")
+            fine = _merged(fine, first, "cell", "left").withColumn("head", F.coalesce(F.col("phash") == F.col("first"), F.lit(False)))
             placed = placed.where("head").unionByName(fine.select(*placed.columns))
         self._append(placed, self._cells, "cell")
 
@@ -211,7 +217,7 @@ class BatchStore:
         gap = F.bit_count(F.col("phash").bitwiseXOR(F.col("x_phash")))
         earlier = (F.col("x_batch_no") < F.col("batch_no")) | ((F.col("x_batch_no") == F.col("batch_no")) & (F.col("x_row_id") < F.col("row_id")))
         near = F.col("k").isNull() | (F.abs(F.col("k") - F.col("residual")) <= CLOSE)
-        return probes.join(rows, "cell").where(near & earlier & (gap <= MAX_BITS)).groupBy("row_id").agg(F.min(gap).alias("distance"))
+        return _merged(probes, rows, "cell").where(near & earlier & (gap <= MAX_BITS)).groupBy("row_id").agg(F.min(gap).alias("distance"))
 
     def probe(self, queries: DataFrame, *, nearest: bool = False) -> DataFrame:
         """(row_id, distance): queries (phash, batch_no, row_id) with an earlier row within 8 bits.
@@ -249,7 +255,7 @@ class BatchStore:
         met = self._met(asked.mapInArrow(own, schema), heads=not nearest)
         # rows not met so far differ in every segment, by 3 bits or more in all
         settled = met.where(F.col("distance") <= len(SEGMENTS)) if nearest else met
-        left = asked.join(settled.select("row_id"), "row_id", "left_anti").select(*_ROW)
+        left = _merged(asked, settled.select("row_id"), "row_id", "left_anti").select(*_ROW)
         more = self._met(left.mapInArrow(others, schema), heads=False)
         return met.unionByName(more).groupBy("row_id").agg(F.min("distance").alias("distance"))
 
@@ -265,7 +271,7 @@ class BatchStore:
         hashes = hashes_of(new)
         self.append(hashes)
         near = self.probe(hashes).select(F.lit("p").alias("tag"), "row_id")
-        again = keyed.select("tag", "row_id").join(new.select("tag", "row_id"), ["tag", "row_id"], "left_anti")
+        again = _merged(keyed.select("tag", "row_id"), new.select("tag", "row_id"), ["tag", "row_id"], "left_anti")
         folder = f"{self.path}/known/step={self.steps - 1}"
         again.unionByName(near).write.mode("overwrite").parquet(folder)
         return self.spark.read.schema("tag string, row_id long").parquet(folder)
