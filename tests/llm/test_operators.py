@@ -545,6 +545,17 @@ def test_every_repeat_is_answered_by_a_table(spark, monkeypatch):
     assert cuckoo.audit(history, rows, flipped, every=1).first().n_wrong == 200
 
 
+def test_audit_of_all_rows_finds_what_the_sample_leaves_out(spark, monkeypatch):
+    """One wrong answer, to a row that p7_audit does not look at."""
+    history = spark.createDataFrame([("h",)], "key string")
+    rows = spark.createDataFrame([("text", i, f"k{i}") for i in range(1, 101)] + [("text", 101, None)], "kind string, row_id long, key string")
+    monkeypatch.setattr(cuckoo, "_inputs", lambda *_: (history, rows))
+    monkeypatch.setattr(cuckoo, "seen_before", lambda _, r: r.select("kind", "row_id", (F.col("row_id") == 7).alias("seen")))
+    assert cuckoo.p7_audit(spark, "").first().n_wrong == 0
+    got = cuckoo.p7_audit_all(spark, "").first()
+    assert (got.n_rows, got.n_audited, got.n_wrong, got.wrong_rate) == (101, 100, 1, 0.01)
+
+
 def test_hot_key_reaches_its_shard_once_a_task(spark):
     rows = spark.range(1, 3001).select(F.lit("t").alias("kind"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key")).repartition(4)
     history = spark.createDataFrame([("k1",), (None,)], "key string")

@@ -387,6 +387,12 @@ def p7_audit(spark, sf_dir: str) -> DataFrame:
     return audit(history, rows, seen_before(history, rows))
 
 
+def p7_audit_all(spark, sf_dir: str) -> DataFrame:
+    """The same with every answer to a row of non-null key compared: no sample."""
+    history, rows = _inputs(spark, sf_dir)
+    return audit(history, rows, seen_before(history, rows), every=1)
+
+
 def p7_growth(spark, sf_dir: str) -> DataFrame:
     """(batch, n_keys): keys that the tables hold after the history (-1) and after each range."""
     _, stores = stepped(*_inputs(spark, sf_dir))
@@ -405,7 +411,7 @@ def p7_forgotten(spark, sf_dir: str) -> DataFrame:
     return store.delete(gone).contains(rows.select("key"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_audit": p7_audit, "p7_growth": p7_growth, "p7_forgotten": p7_forgotten}
+QUERIES = {"p7_found": p7_found, "p7_audit": p7_audit, "p7_audit_all": p7_audit_all, "p7_growth": p7_growth, "p7_forgotten": p7_forgotten}
 
 _KEYS = """
 WITH cache AS (SELECT DISTINCT lower(trim(content_hash)) AS k FROM text_cache WHERE trim(content_hash) <> ''),
@@ -422,6 +428,8 @@ ORACLES = {
     "p7_audit": _KEYS
     + f"""SELECT kind, count(*) AS n_rows, CAST(sum(seen::INT) AS BIGINT) AS n_seen, count(*) FILTER (WHERE k IS NOT NULL AND row_id % {AUDITED} = 0) AS n_audited, CAST(0 AS BIGINT) AS n_wrong,
 CASE WHEN count(*) FILTER (WHERE k IS NOT NULL AND row_id % {AUDITED} = 0) > 0 THEN 0.0::DOUBLE END AS wrong_rate FROM s GROUP BY kind""",
+    "p7_audit_all": _KEYS
+    + """SELECT kind, count(*) AS n_rows, CAST(sum(seen::INT) AS BIGINT) AS n_seen, count(k) AS n_audited, CAST(0 AS BIGINT) AS n_wrong, CASE WHEN count(k) > 0 THEN 0.0::DOUBLE END AS wrong_rate FROM s GROUP BY kind""",
     "p7_growth": _KEYS
     + f""", e AS (SELECT kind, min(row_id) AS low, max(row_id) AS high FROM r WHERE k IS NOT NULL GROUP BY kind),
 new AS (SELECT least(CAST(floor((s.row_id - low) / (high - low + 1)::DOUBLE * {BATCHES}) AS INT), {BATCHES - 1}) AS batch FROM s JOIN e USING (kind) WHERE k IS NOT NULL AND NOT seen)
