@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wardsieve.config import ImageSettings
 from wardsieve.operators import admin, bloom, moderate, paging, ring, similar, tables, verdict
 from wardsieve.operators import blocklist as B
 from wardsieve.schemas import IMAGE_CACHE, TEXT_CACHE, TEXT_DATASET, create_tables
@@ -157,6 +158,15 @@ def test_exploded_bands_are_not_broadcast(spark):
     assert "SortMergeJoin [seg" in plan and "BroadcastHashJoin [seg" not in plan
 
 
+def test_image_cache_is_not_broadcast(spark):
+    cache = create_tables(spark)["image_cache"]
+    asked = spark.createDataFrame([("r", "f", 5, None, 0.1, "")], "request_id string, file_hash string, phash long, is_nsfw boolean, nsfw_score double, source_url string")
+    cache = cache.unionByName(spark.createDataFrame([("f", 4, "{}", "unsafe", 0.5, "m", "", "auto", None, T0, T0)], IMAGE_CACHE))
+    for gate in (True, False):
+        plan = moderate.moderate_images(asked, cache, ImageSettings(gate=gate))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [file_hash" not in plan and "BroadcastHashJoin [seg" not in plan
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(200)] + [(None,)], "k string")
     made = bloom.build(keys, "k", bits=1 << 12, hashes=4)

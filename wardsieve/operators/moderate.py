@@ -128,15 +128,16 @@ def moderate_images(requests: DataFrame, cache: DataFrame, settings: ImageSettin
     similarity search.
     """
     row = F.struct(F.col("category").alias("cached"), F.coalesce("nsfw_score", F.lit(0.0)).alias("cached_score"))
+    # the cache is not broadcast: its columns are several times what plans reckon from its files
     files = cache.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.min(row).alias("c")).select("file_hash", "c.*", F.lit(True).alias("in_cache"))
-    rows = requests.withColumn("file_hash", F.nullif("file_hash", F.lit(""))).join(files, "file_hash", "left").withColumn("in_cache", F.coalesce("in_cache", F.lit(False)))
+    rows = requests.withColumn("file_hash", F.nullif("file_hash", F.lit(""))).join(files.hint("merge"), "file_hash", "left").withColumn("in_cache", F.coalesce("in_cache", F.lit(False)))
 
     open_ = rows.where("NOT in_cache AND phash <> 0").select("phash").distinct()
     if settings.gate:
         known = cache.where("file_hash LIKE 'phash:%' AND category <> 'safe'").select("phash").distinct()
         open_ = open_.join(known, "phash", "left_semi")
     bad = similar.find_similar(open_.select(F.col("phash").alias("query_id"), "phash"), cache, distance=settings.max_distance, top=1)
-    bad = bad.join(cache.select("file_hash", F.coalesce("nsfw_score", F.lit(0.0)).alias("bad_score"), F.col("category").alias("bad_category")), "file_hash").select(F.col("query_id").alias("phash"), "bad_score", "bad_category", F.lit(True).alias("is_bad"))
+    bad = bad.join(cache.select("file_hash", F.coalesce("nsfw_score", F.lit(0.0)).alias("bad_score"), F.col("category").alias("bad_category")).hint("merge"), "file_hash").select(F.col("query_id").alias("phash"), "bad_score", "bad_category", F.lit(True).alias("is_bad"))
     rows = rows.join(bad, "phash", "left")
 
     cached, similar_ = F.col("in_cache"), F.coalesce("is_bad", F.lit(False)) & ~F.col("in_cache")

@@ -63,7 +63,7 @@ def find_similar(queries: DataFrame, table: DataFrame, *, distance: int = 10, to
     first = Window.partitionBy("phash").orderBy("file_hash")
     bad = bad.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= top)
     order = Window.partitionBy("a").orderBy("distance", "file_hash")
-    best = pairs.join(bad.select(F.col("phash").alias("b"), "file_hash"), "b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = pairs.join(bad.select(F.col("phash").alias("b"), "file_hash").hint("merge"), "b").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return queries.select("query_id", F.col("phash").alias("a")).join(best, "a").select("query_id", "file_hash", "distance", "rank")
 
 
