@@ -159,9 +159,8 @@ def test_exploded_bands_are_not_broadcast(spark):
 
 
 def test_image_cache_is_not_broadcast(spark):
-    cache = create_tables(spark)["image_cache"]
-    asked = spark.createDataFrame([("r", "f", 5, None, 0.1, "")], "request_id string, file_hash string, phash long, is_nsfw boolean, nsfw_score double, source_url string")
-    cache = cache.unionByName(spark.createDataFrame([("f", 4, "{}", "unsafe", 0.5, "m", "", "auto", None, T0, T0)], IMAGE_CACHE))
+    cache = spark.range(9).selectExpr("concat('f', id) AS file_hash", "id AS phash", "'unsafe' AS category", "0.5D AS nsfw_score")
+    asked = spark.range(9).selectExpr("concat('r', id) AS request_id", "concat('f', id) AS file_hash", "id AS phash", "CAST(NULL AS boolean) AS is_nsfw", "0.1D AS nsfw_score", "'' AS source_url")
     for gate in (True, False):
         plan = moderate.moderate_images(asked, cache, ImageSettings(gate=gate))._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin [file_hash" not in plan and "BroadcastHashJoin [seg" not in plan
